@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termforge.llm import simhash
+from termforge.llm import decontam, packing, preference, quality_rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op6_benchmark_decontamination": decontam.op6_benchmark_decontamination,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_quality_classifier": preference.op8_quality_classifier,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_benchmark_decontamination": decontam.ORACLE_OP6}
