@@ -131,16 +131,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, most
     return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.sum("strings").alias("strings"))
 
 
+def _leak_test(strings: list[str]):
+    @F.pandas_udf("boolean")
+    def leaks(texts: pd.Series) -> pd.Series:
+        machine = WuManber(strings)
+        return texts.map(lambda t: next(machine.find(t), None) is not None).astype(bool)
+
+    return leaks
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, text_col: str = "text", most: int = MOST_PATTERN_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no test string, with all their columns."""
     for part in _parts(test_strings(benchmark, words), most):
-
-        @F.pandas_udf("boolean")
-        def leaks(texts: pd.Series, strings=part) -> pd.Series:
-            machine = WuManber([s for s, _ in strings])
-            return texts.map(lambda t: next(machine.find(t), None) is not None).astype(bool)
-
-        docs = docs.where(~leaks(F.coalesce(plain(F.col(text_col)), F.lit(""))))
+        docs = docs.where(~_leak_test([s for s, _ in part])(F.coalesce(plain(F.col(text_col)), F.lit(""))))
     return docs
 
 

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termforge.llm import decontam, packing, preference, quality_rules, simhash
+from termforge.llm import decontam, packing, preference, quality_rules, simhash, tokenfst
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_token_counts": tokenfst.op3_token_counts,
     "op6_benchmark_decontamination": decontam.op6_benchmark_decontamination,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_quality_classifier": preference.op8_quality_classifier,

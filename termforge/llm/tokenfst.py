@@ -8,7 +8,8 @@ is all that the encoding of any continuation depends on: the last token of the l
 prefix is the one entry that ends there and may follow the last token before it, and two tokens may follow
 each other if the merges turn their joint bytes into just these two. A transition carries
 the change in the number of emitted tokens; over a pre-token these add up to its exact token count.
-Transitions are compiled when first needed and kept as two tables.
+Tokens that the same entries may follow stand in for each other, which keeps the
+states few. Transitions are compiled when first needed and kept in one table.
 
 Text runs through the tables in chunks that lie side by side as numpy lanes. The first
 pass gives each chunk's state map: where it holds the start of a pre-token, which resets the state, its map is
@@ -40,7 +41,9 @@ from termforge.llm.common import identified, slices, table
 #: The vocabulary: a line for each token, its bytes in base 64 and its rank.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Compiled states at which a worker drops its tables and starts anew, and bytes in a chunk.
-MOST_STATES, CHUNK = 120_000, 512
+MOST_STATES, CHUNK = 150_000, 512
+#: Entries beyond a node up to which last tokens are told apart only by those they allow.
+FEW = 200
 _UNKNOWN, _START = 0, 1
 _LETTER, _NUMBER, _SPACE = 1, 2, 3
 
@@ -50,7 +53,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class Transducer:
-    """The compiled tokenizer: ``step[state, byte]`` and ``emit[state, byte]``."""
+    """The compiled tokenizer. ``cells[state << 8 | byte]`` is ``next state << 8 | emitted + 128``, or -1."""
 
     def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
         self.ranks, self.most_states = ranks, most_states
@@ -79,39 +82,76 @@ class Transducer:
                 queue.append(child)
             back = self.fail[at]
             self.ends[at] = back if self.token[back] >= 0 else self.ends[back]
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.below: dict[int, tuple[int, ...]] = {}
+        for at in sorted(range(1, len(self.goto)), key=lambda n: -self.depth[n]):
+            found: list[int] = []
+            for child in self.goto[at].values():
+                found += (self.token[child],) * (self.token[child] >= 0) + self.below.get(child, (-1,) * (FEW + 1))
+            if len(found) <= FEW:
+                self.below[at] = tuple(found)
+        self.alike: dict[tuple[int, int], int | None] = {}
+        self.same: dict[tuple[int, tuple[bool, ...]], int] = {}
+        self.parts: dict[int, tuple[int, int]] = {}
         self.reset()
 
     def reset(self) -> None:
         """Forget all compiled states."""
         self.names: dict[tuple, int] = {}
         self.states: list[tuple] = [(), ()]
-        self.step = np.full((1024, 256), -1, dtype=np.int32)
-        self.emit = np.zeros((1024, 256), dtype=np.int8)
-        self.step[_UNKNOWN] = _UNKNOWN
+        self.cells = np.full(1024 << 8, -1, dtype=np.int32)
+        self.cells[:256] = _UNKNOWN << 8 | 128
         self.states[_START] = (0, ((0, -1, 0),))
         self.names[self.states[_START]] = _START
 
-    def merge(self, data: bytes) -> list[bytes]:
-        """The encoding of ``data`` by merges of least rank, leftmost first."""
+    def merge(self, data: bytes, below: int = 1 << 60) -> list[bytes]:
+        """The encoding of ``data`` by merges of least rank, leftmost first, of ranks under ``below``."""
         parts = [data[k : k + 1] for k in range(len(data))]
         while len(parts) > 1:
             best = min(range(len(parts) - 1), key=lambda k: self.ranks.get(parts[k] + parts[k + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in self.ranks:
+            if self.ranks.get(parts[best] + parts[best + 1], below) >= below:
                 break
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def may_follow(self, left: int, right: int) -> bool:
-        found = self.fits.get((left, right))
+    def halves(self, token: int) -> tuple[int, int]:
+        """The two tokens that ``token`` was last merged from; itself twice if it is one byte."""
+        found = self.parts.get(token)
         if found is None:
-            a = self.words.get(left, b"")
-            b = self.words[right]
-            found = self.fits[left, right] = self.merge(a + b) == ([a, b] if a else [b])
-            if len(self.fits) > 4_000_000:
-                self.fits.clear()
+            word = self.words[token]
+            parts = self.merge(word, token) if len(word) > 1 else [word, word]
+            found = self.parts[token] = (self.ranks[parts[0]], self.ranks[parts[-1]])
         return found
 
+    def may_follow(self, left: int, right: int) -> bool:
+        """Whether the merges turn the joint bytes of both tokens into just these two.
+
+        Undoes their merges from the latest on; at no time may the two tokens that
+        touch have a merge of their own that would have come first.
+        """
+        if left < 0:
+            return True
+        limit = 1 << 60
+        while True:
+            if self.ranks.get(self.words[left] + self.words[right], limit) < limit:
+                return False
+            if left > right and len(self.words[left]) > 1 or len(self.words[right]) == 1:
+                if len(self.words[left]) == 1:
+                    return True
+                limit, left = left, self.halves(left)[1]
+            else:
+                limit, right = right + 1, self.halves(right)[0]
+
+    def stand_in(self, node: int, last: int) -> int | None:
+        """A token that the entries beyond ``node`` may follow just when they may follow ``last``; None if none may."""
+        if node not in self.below:
+            return last
+        if (node, last) not in self.alike:
+            if len(self.alike) > 4_000_000:
+                self.alike.clear()
+            may = tuple(self.may_follow(last, t) for t in self.below[node])
+            self.alike[node, last] = self.same.setdefault((node, may), last) if any(may) else None
+        return self.alike[node, last]
+
     def compile(self, state: int, byte: int) -> None:
         """Fill one cell of the tables, adding the state it leads to if that is new."""
         node, before = self.states[state]
@@ -123,35 +163,36 @@ class Transducer:
         while True:
             if not at:
                 raise ValueError(f"byte {byte} is missing in the vocabulary")
-            last, n = held[self.depth[at] - 1]
-            if self.may_follow(last, self.token[at]):
+            last, n = held.get(self.depth[at] - 1, (None, 0))
+            if last is not None and self.may_follow(last, self.token[at]):
                 break
             at = self.ends[at]
         token, emitted = self.token[at], n + 1
         chain, back = [], node
         while back:
-            last, n = held[self.depth[back] - 1]
-            chain.append((self.depth[back], last, n - emitted))
+            last, n = held.get(self.depth[back] - 1, (None, 0))
+            last = None if last is None else self.stand_in(back, last)
+            if last is not None:
+                chain.append((self.depth[back], last, n - emitted))
             back = self.fail[back]
         name = (node, (*chain, (0, token, 0)))
         to = self.names.get(name)
         if to is None:
             to = self.names[name] = len(self.states)
             self.states.append(name)
-            if to >= len(self.step):
-                self.step = np.concatenate([self.step, np.full_like(self.step, -1)])
-                self.emit = np.concatenate([self.emit, np.zeros_like(self.emit)])
-        self.step[state, byte], self.emit[state, byte] = to, emitted
-
-    def advance(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Next states and emitted tokens of all lanes."""
-        to = self.step[state, byte]
+            if to << 8 >= len(self.cells):
+                self.cells = np.concatenate([self.cells, np.full_like(self.cells, -1)])
+        self.cells[state << 8 | byte] = to << 8 | emitted + 128
+
+    def advance(self, cell: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """Where all lanes go from their last cells (state and emission) with the next bytes."""
+        at = cell & ~255 | byte
+        to = self.cells.take(at)
         if to.min(initial=0) < 0:
-            new = to < 0
-            for cell in np.unique(state[new].astype(np.int64) << 8 | byte[new]).tolist():
-                self.compile(cell >> 8, cell & 255)
-            to = self.step[state, byte]
-        return to, self.emit[state, byte]
+            for c in np.unique(at[to < 0]).tolist():
+                self.compile(c >> 8, c & 255)
+            to = self.cells.take(at)
+        return to
 
     def emissions(self, data: np.ndarray, resets: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
         """Tokens emitted at each byte of ``data``; a pre-token starts where ``resets``."""
@@ -164,15 +205,16 @@ class Transducer:
         anew.ravel()[: len(data)] = resets
         anew.ravel()[len(data) :] = True
         text, anew = np.ascontiguousarray(text.T), np.ascontiguousarray(anew.T)
-        out = np.zeros((chunk, lanes), dtype=np.int8)
-        state = np.full(lanes, _UNKNOWN, dtype=np.int32)
+        out = np.zeros((chunk, lanes), dtype=np.uint8)
+        cell = np.full(lanes, _UNKNOWN << 8, dtype=np.int32)
         for t in range(chunk):  # every chunk's map, where it is constant
-            state[anew[t]] = _START
-            state, out[t] = self.advance(state, text[t])
-        constant = state != _UNKNOWN
+            np.putmask(cell, anew[t], _START << 8)
+            cell = self.advance(cell, text[t])
+            out[t] = cell.astype(np.uint8)
+        constant = cell >> 8 != _UNKNOWN
         head = np.where(constant, anew.argmax(axis=0), chunk)
         known = np.append(True, constant[:-1])
-        before = np.append(_START, state[:-1]).astype(np.int32)
+        before = np.append(_START << 8, cell[:-1]).astype(np.int32)
         todo = np.arange(lanes)
         while len(todo):  # compose: chunks whose map is not constant hand on what they are given
             now = todo[known[todo]]
@@ -180,11 +222,12 @@ class Transducer:
             s = before[now]
             for t in range(int(head[now].max(initial=0))):
                 on = head[now] > t
-                s[on], out[t, now[on]] = self.advance(s[on], text[t, now[on]])
+                s[on] = self.advance(s[on], text[t, now[on]])
+                out[t, now[on]] = s[on].astype(np.uint8)
             passed = ~constant[now] & (now + 1 < lanes)
             after = now[passed] + 1
             before[after], known[after] = s[passed], True
-        return out.T.ravel()[: len(data)]
+        return out.T.ravel()[: len(data)].astype(np.int16) - 128
 
 
 @cache
