@@ -7,6 +7,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 
 
 def encode(numbers: Iterable[int]) -> bytes:
@@ -35,12 +36,12 @@ def decode(data: bytes) -> list[int]:
     return out
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(ty.BinaryType())
 def vbyte_encode(numbers: pd.Series) -> pd.Series:
     return numbers.map(lambda x: encode(int(n) for n in x), na_action="ignore")
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(ty.ArrayType(ty.LongType()))
 def vbyte_decode(data: pd.Series) -> pd.Series:
     return data.map(decode, na_action="ignore")
 

@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 
 from termforge.functions.constants import MAX_TOKEN, MIN_TERM, MIN_TOKEN, STEM_RULES, STOPWORDS
 
@@ -21,6 +22,7 @@ ENTITIES = (
     ("&nbsp;", " "), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&"),
 )
 TAGS, URLS, DROPPED = r"<[^>]+>", r"https?://\S+|www\.\S+", r"[^a-z0-9\s\-]"
+_TOKENS = ty.ArrayType(ty.StructType().add("term", ty.StringType()).add("position", ty.IntegerType()).add("start_char", ty.IntegerType()).add("end_char", ty.IntegerType()))
 TOKEN = r"[a-z0-9]+(?:[-'][a-z0-9]+)*"
 
 
@@ -44,13 +46,13 @@ def unescape(c: Column) -> Column:
     return c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(ty.StringType())
 def unescape_all(c: pd.Series) -> pd.Series:
     """All named and numeric entities."""
     return c.map(entities.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(ty.StringType())
 def decompose(c: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks."""
     return c.map(lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)), na_action="ignore")
@@ -121,7 +123,7 @@ def terms(normal: Column) -> Column:
     return F.filter(F.transform(tokens(normal), stem), lambda t: F.length(t) >= MIN_TERM)
 
 
-@F.pandas_udf("array<struct<term:string,position:int,start_char:int,end_char:int>>")
+@F.pandas_udf(_TOKENS)
 def tokens_with_offsets(normal: pd.Series) -> pd.Series:
     """Terms with their positions and character ranges in the normalised text."""
 

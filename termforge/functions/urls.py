@@ -8,6 +8,7 @@ from urllib.parse import urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 
 from termforge.functions.constants import TRACKING
 
@@ -54,7 +55,7 @@ def links_of(html: str | None, base: str | None) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ty.ArrayType(ty.StringType()))
 def page_links(html: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([links_of(h, b) for h, b in zip(html, base)])
 

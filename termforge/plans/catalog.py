@@ -398,7 +398,7 @@ def _pagerank_sql(rounds: int, preferred: bool) -> str:
     jump = f"(1 - {BIAS}) / n + CASE WHEN node BETWEEN -10 AND -1 THEN {BIAS} / p ELSE 0 END" if preferred else "1.0 / n"
     steps = ["""items AS (SELECT o_custkey AS c, -l_suppkey - 1 AS s, l_returnflag AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
     edges AS (SELECT c AS src, s AS dst FROM items UNION ALL SELECT s, c FROM items WHERE f = 'R'),
-    w AS MATERIALIZED (SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src) AS w FROM edges GROUP BY ALL),
+    w AS MATERIALIZED (SELECT src, dst, m / sum(m) OVER (PARTITION BY src) AS w FROM (SELECT src, dst, count(*) AS m FROM edges GROUP BY src, dst)),
     nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges),
     total AS (SELECT count(*) AS n, count(*) FILTER (node BETWEEN -10 AND -1) AS p FROM nodes)""",
     f"s0 AS MATERIALIZED (SELECT node, {jump} AS t, node NOT IN (SELECT src FROM edges) AS d, {jump} AS s FROM nodes, total)"]
@@ -506,8 +506,8 @@ def _strict(question: str) -> Query:
 for _name, _word in (("and", "INTERSECT"), ("or", "UNION"), ("not", "EXCEPT")):
     QUERIES[f"bool_{_name}"] = _strict(f"ernt {_name.upper()} onea")
     ORACLES[f"bool_{_name}"] = f"WITH {BASE} {_HAVING.format('ernt')} {_word} {_HAVING.format('onea')}"
-QUERIES["phrase_match"] = _strict('"ernt onea"')
-ORACLES["phrase_match"] = f"WITH {BASE} SELECT DISTINCT a.doc_id FROM stream a JOIN stream b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 AND a.term = 'ernt' AND b.term = 'onea'"
+QUERIES["phrase_match"] = _strict('"thea thea"')
+ORACLES["phrase_match"] = f"WITH {BASE} SELECT DISTINCT a.doc_id FROM stream a JOIN stream b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 AND a.term = 'thea' AND b.term = 'thea'"
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 200), '(?i)(the)', '**\\1**', 'g'), '(?i)(an)', '**\\1**', 'g') AS marked FROM documents")

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as ty
 
 from termforge.functions.constants import MERGE_FACTOR
 from termforge.operators import index
@@ -23,7 +22,7 @@ POSTINGS = "doc_id bigint, term string, tf bigint, positions array<int>, segment
 LENGTHS = "doc_id bigint, doc_len bigint, segment_id bigint"
 META = "doc_id bigint, url string, title string, content_preview string, crawled_at timestamp, segment_id bigint"
 TOMBSTONES = "doc_id bigint, before bigint"
-DOCUMENT = ty.StructType.fromDDL("doc_id bigint, url string, title string, content string, crawled_at timestamp")
+DOCUMENT = "doc_id bigint, url string, title string, content string, crawled_at timestamp"
 
 
 class IndexStore:
