@@ -114,8 +114,10 @@ def convert(file: str, data: bytes | None) -> Iterator[tuple]:
         end = len(data) if end < 0 else end
         line = data[at:end]
         described = line.startswith(b"filedesc:")
-        tries = (V1, V2) if described else (fields,)
-        head = next((h for f in tries if (h := parse_header(line, f))), None)
+        # a description's own fields aren't known yet: the version is right that puts the date in its place
+        tries = (V2, V1) if described else (fields,)
+        heads = [h for f in tries if (h := parse_header(line, f))]
+        head = next((h for h in heads if parse_date(h.get("Archive-date", ""))), heads[-1] if heads else None)
         if head is None:
             yield (file, at, version, None, None, None, None, None, None, None, None, None, line, "header")
             at = end + 1
