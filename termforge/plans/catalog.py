@@ -186,9 +186,9 @@ def vbyte_sizes(spark, sf_dir):
 @query(f"WITH {BASE} SELECT doc_id, term, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS decoded FROM stream GROUP BY ALL")
 def vbyte_round_trip(spark, sf_dir):
     found = index.postings(table(spark, sf_dir, "documents"))
-    back = codec.vbyte_decode(codec.vbyte_encode(codec.gaps(F.col("positions"))))
-    sums = F.transform(back, lambda x, k: F.aggregate(F.slice("back", F.lit(1), k + 1), F.lit(0).cast("bigint"), lambda a, b: a + b))
-    return found.select("doc_id", "term", back.alias("back")).select("doc_id", "term", F.array_join(sums.cast("array<string>"), " ").alias("decoded"))
+    read = found.select("doc_id", "term", codec.vbyte_decode(codec.vbyte_encode(codec.gaps(F.col("positions")))).alias("back"))
+    sums = F.transform("back", lambda x, k: F.aggregate(F.slice("back", F.lit(1), k + 1), F.lit(0).cast("bigint"), lambda a, b: a + b))
+    return read.select("doc_id", "term", F.array_join(sums.cast("array<string>"), " ").alias("decoded"))
 
 
 @query(f"WITH {BASE} SELECT term, doc_id, tf FROM tf WHERE term IN ('ernt', 'onea')")
