@@ -185,8 +185,11 @@ def warc_text(records: DataFrame) -> Column:
 
 
 def pages_as_arc(pages: DataFrame) -> DataFrame:
-    """Each page as an ARC file of two records, version 1 for even page_ids and 2 for odd ones."""
-    known = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).where("page_id IS NOT NULL")
+    """Each page as an ARC file of two records, version 1 for even page_ids and 2 for odd ones.
+
+    A page without URL is archived as ``about:blank``, one without HTML with an empty body; pages without page_id are left out.
+    """
+    known = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.nullif("url", F.lit("")), F.lit("about:blank")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).where("page_id IS NOT NULL")
     body = F.encode(F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"), "html"), "UTF-8")
     date = F.date_format(F.expr("timestampadd(SECOND, page_id, timestamp_ntz'2001-01-01 00:00:00')"), "yyyyMMddHHmmss")
     odd = F.expr("pmod(page_id, 2) = 1")

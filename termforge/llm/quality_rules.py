@@ -27,7 +27,7 @@ from termforge.llm.stats import NAMES, text_stats
 
 #: +1: the score never falls as the statistic grows; -1: it never rises.
 MONOTONE = {"distinct_words": 1, "top_word": -1, "symbols": -1, "exclaims": -1, "pipes": -1, "repeated_lines": -1}
-TREES, DEPTH, RATE, BINS, LEAST_LEAF, RIDGE = 60, 3, 0.2, 64, 20, 1.0
+TREES, DEPTH, RATE, BINS, LEAST_LEAF, RIDGE = 60, 3, 0.2, 64, 5, 1.0
 #: Documents with a lower probability of being good are rejected.
 CUT = 0.5
 

@@ -38,7 +38,7 @@ def _part(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
         out[k] = (
             np.log1p(n), (letters + digits) / per, len(distinct[-1]) / per, np.diff(edges).max(initial=0) / per,
             upper / max(1, letters), symbols / size, exclaims / per, pipes / per, digits / size,
-            1 - len(set(lines)) / max(1, len(lines)),
+            1 - len(set(lines)) / len(lines) if lines else 0.0,
         )
     return out, distinct
 

@@ -1,0 +1,125 @@
+import random
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from termforge.llm import simhash
+
+VOCABULARY = [f"term{k}" for k in range(4000)]
+
+
+def within(prints, tau):
+    """All pairs by the full Hamming distance."""
+    out = set()
+    for i, (a, x, y) in enumerate(prints):
+        for b, u, v in prints[i + 1 :]:
+            if ((x ^ u) & (1 << 64) - 1).bit_count() + ((y ^ v) & (1 << 64) - 1).bit_count() <= tau:
+                out.add((min(a, b), max(a, b)))
+    return out
+
+
+def groups_of(pairs):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {x: find(x) for x in list(root)}
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def clustered(rng, n, flips):
+    """Fingerprints in families whose members differ in a few bits."""
+    out, base = [], 0
+    for k in range(n):
+        if k % 8 == 0:
+            base = rng.getrandbits(128)
+        x = base
+        for bit in rng.sample(range(128), rng.randint(0, flips)):
+            x ^= 1 << bit
+        out.append((k, signed(x & (1 << 64) - 1), signed(x >> 64)))
+    return out
+
+
+@pytest.mark.parametrize("tau,deep", [(24, False), (24, True), (3, False), (10, False)])
+def test_pairs_are_all_pairs_and_found_once(spark, monkeypatch, tau, deep):
+    rng = random.Random(tau)
+    prints = clustered(rng, 900, tau // 2 + 3)
+    if deep:
+        monkeypatch.setattr(simhash, "GROUP_ROWS", 1)
+    nodes = spark.createDataFrame(prints, "node bigint, hi bigint, lo bigint")
+    found = [tuple(r) for r in simhash.close_pairs(nodes, tau).collect()]
+    assert len(found) == len(set(found)) and set(found) == within(prints, tau)
+
+
+def test_every_close_pair_has_a_full_chain():
+    """The pigeonring principle itself, on random differences."""
+    rng, tau = random.Random(1), 24
+    ring, m = simhash.segments(tau), tau + 1
+    assert sum(w for _, w in ring) == 128
+    for _ in range(300):
+        diff = sum(1 << b for b in rng.sample(range(128), tau))
+        parts = [(diff >> a & (1 << w) - 1).bit_count() for a, w in ring]
+        assert any(all(sum(parts[(s + k) % m] for k in range(n)) * m <= n * tau for n in range(1, m + 1)) for s in range(m))
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(0, k) for k in range(1, 40)] + [tuple(sorted(rng.sample(range(200, 300), 2))) for _ in range(60)]
+    found = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert {k: found.get(k, k) for k in groups_of(edges)} == groups_of(edges)
+
+
+def test_fingerprint_by_hand():
+    words, _ = simhash.word_hashes(["red fish blue fish red fish"])
+    hi, lo = simhash.fingerprint_words(words)
+    h = set(words.tolist()) | set(simhash.mix(words[:-1] * np.uint64(31) + words[1:]).tolist())
+    for half, hashes in ((hi, h), (lo, {int(simhash.mix(np.array([x], dtype=np.uint64))[0]) for x in h})):
+        expected = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in hashes) > len(hashes))
+        assert half & (1 << 64) - 1 == expected
+
+
+def test_near_copies_are_found_and_others_left(spark):
+    rng = random.Random(4)
+    rows, expected = [], defaultdict(list)
+    for k in range(120):
+        words = rng.choices(VOCABULARY, k=rng.randint(80, 400))
+        for c in range(1 + (k % 3 == 0) * 2):
+            copy = list(words)
+            for _ in range(c * len(words) // 100):
+                copy[rng.randrange(len(copy))] = rng.choice(VOCABULARY)
+            expected[k].append(len(rows))
+            rows.append((len(rows), " ".join(copy)))
+    found = {r["doc_id"]: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    copies = [i for ids in expected.values() if len(ids) > 1 for i in ids]
+    assert sum(i in found for i in copies) >= 0.95 * len(copies) and not set(found) - set(copies)
+    assert all(r["group_id"] in expected[k] for k, ids in expected.items() for i in ids if (r := found.get(i)))
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    prints = [(r["doc_id"], *f) for r, f in zip(docs, simhash.fingerprint_texts([r["text"] for r in docs])) if f]
+    roots = groups_of(within(prints, simhash.TAU))
+    sizes = defaultdict(int)
+    for g in roots.values():
+        sizes[g] += 1
+    found = {tuple(r) for r in simhash.op10_simhash_near_dedup(spark, sf_dir).collect()}
+    assert found == {(d, g, sizes[g], d == g) for d, g in roots.items()}
+
+
+def test_hard_rows(hard, nothing):
+    found = {r["doc_id"]: tuple(r)[1:] for r in simhash.near_duplicates(hard).collect()}
+    assert found == {5: (5, 3, True), 6: (5, 3, False), 7: (5, 3, False)}
+    kept = simhash.deduplicate(hard)
+    assert kept.columns == hard.columns
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 5, 8, 9, 10, 11]
+    assert simhash.near_duplicates(nothing).count() == 0 == simhash.deduplicate(nothing).count()
