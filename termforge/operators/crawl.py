@@ -88,9 +88,10 @@ def robots_filter(urls: DataFrame, robots: DataFrame) -> DataFrame:
 def schedule(frontier: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """``frontier`` (url, priority, depth) with ``slot``: a host's urls come one per slot, the best first.
 
-    All urls of a slot can be fetched at once; between two slots lies each host's delay.
+    All urls of a slot can be fetched at once; between two slots lies each host's delay. Ties go by the other columns.
     """
-    order = Window.partitionBy("host").orderBy(F.desc("priority"), "url")
+    others = [c for c in frontier.columns if c not in ("priority", "url")]
+    order = Window.partitionBy("host").orderBy(F.desc("priority"), "url", *others)
     kept = frontier.where(F.col("depth") <= max_depth).withColumn("host", U.host(F.col("url")))
     return kept.withColumn("slot", F.row_number().over(order))
 

@@ -207,10 +207,17 @@ def segment_meta(spark, sf_dir):
     return parts.agg(F.count_distinct("doc_id").alias("num_docs"), F.count_distinct("term").alias("num_terms"))
 
 
-@query(f"WITH {BASE} SELECT term, count(*) AS df FROM tf WHERE doc_id % 7 != 0 GROUP BY term")
+_TOXIC = "SELECT doc_id FROM labels WHERE toxic = 1"
+
+
+def toxic(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+
+
+@query(f"WITH {BASE} SELECT term, count(*) AS df FROM tf WHERE doc_id NOT IN ({_TOXIC}) GROUP BY term")
 def tombstone_search(spark, sf_dir):
-    """Document frequencies after every seventh document is deleted."""
-    gone = table(spark, sf_dir, "documents").where("doc_id % 7 = 0").select("doc_id")
+    """Document frequencies after all documents known as toxic are deleted."""
+    gone = toxic(spark, sf_dir)
     return index.doc_frequency(index.live(tfs(spark, sf_dir), gone))
 
 
@@ -234,21 +241,23 @@ def doc_meta(spark, sf_dir):
     return docs.select("doc_id", F.concat(F.lit("doc://"), "doc_id").alias("url"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.substring("text", 1, 200).alias("content_preview"))
 
 
-@query("SELECT doc_id, source AS url, n_chars FROM documents WHERE doc_id % 3 != 0 UNION ALL SELECT doc_id, source, -1 FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT doc_id, source AS url, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN -1 ELSE n_chars END AS n_chars FROM documents")
 def upsert_documents(spark, sf_dir):
+    """All documents, of which the labelled ones come again with another size."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("url"), "n_chars")
-    return upsert(docs, docs.where("doc_id % 3 = 0").withColumn("n_chars", F.lit(-1).cast("bigint")), ("doc_id",))
+    again = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return upsert(docs, again.withColumn("n_chars", F.lit(-1).cast("bigint")), ("doc_id",))
 
 
-@query(f"WITH {BASE} SELECT term, count(*) AS df FROM tf WHERE doc_id % 5 != 1 GROUP BY term")
+@query(f"WITH {BASE} SELECT term, count(*) AS df FROM tf WHERE doc_id NOT IN ({_TOXIC}) GROUP BY term")
 def store_round_trip(spark, sf_dir):
-    """Two segments written, one document in five deleted, merged and read again."""
+    """All documents written as two segments, the toxic ones deleted, the segments merged and read again."""
     docs = table(spark, sf_dir, "documents")
     known = docs.select("doc_id", F.concat(F.lit("doc://"), "doc_id").alias("url"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("content"), F.lit(None).cast("timestamp").alias("crawled_at"))
     store = IndexStore(spark, f"{_folder(spark)}/index")
     store.add(known.where("doc_id % 2 = 0"))
     store.add(known.where("doc_id % 2 = 1"))
-    store.delete(known.where("doc_id % 5 = 1").select("doc_id"))
+    store.delete(toxic(spark, sf_dir))
     store.merge_smallest()
     return index.doc_frequency(store.postings())
 
@@ -310,14 +319,13 @@ def cosine_topk(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_VECTOR}, q AS (SELECT doc_id AS query_id, v FROM e ORDER BY doc_id LIMIT 20)
-    SELECT query_id, e.doc_id, round({_COSINE}, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round({_COSINE}, 6) DESC, e.doc_id))::INT AS rank FROM e, q QUALIFY rank <= {TOP}"""
+    f"""WITH {_VECTOR}, u AS (SELECT doc_id, [x / sqrt(list_inner_product(v, v)) FOR x IN v] AS v FROM e)
+    SELECT q.doc_id AS query_id, u.doc_id, round(list_inner_product(u.v, q.v), 6) AS score,
+      (row_number() OVER (PARTITION BY q.doc_id ORDER BY round(list_inner_product(u.v, q.v), 6) DESC, u.doc_id))::INT AS rank FROM u, u q QUALIFY rank <= {TOP}"""
 )
 def semantic_batch(spark, sf_dir):
-    """The first twenty vectors as queries against all vectors."""
-    asked = vectors(spark, sf_dir).orderBy("doc_id").limit(20).select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = vectors(spark, sf_dir).crossJoin(F.broadcast(asked))
-    return ranking.top_k_per_query(pairs.select("query_id", "doc_id", ranking.cosine(F.col("embedding"), F.col("q")).alias("score")), TOP)
+    """Every vector as a query against all vectors."""
+    return ranking.nearest(vectors(spark, sf_dir), vectors(spark, sf_dir), TOP)
 
 
 def _scaled(x: str, over: str = "PARTITION BY query_id") -> str:
@@ -330,7 +338,8 @@ def minmax_normalize(spark, sf_dir):
     return lexical(spark, sf_dir, QUESTION).select("doc_id", F.round(ranking.minmax(F.col("score"), over), 6).alias("norm"))
 
 
-_PRIOR = "SELECT doc_id, n_chars::DOUBLE AS score FROM documents WHERE doc_id % 2 = 0"
+#: A score that only the labelled documents have, as PageRank knows linked ones only.
+_PRIOR = "SELECT doc_id, n_chars::DOUBLE AS score FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"
 
 
 def _hybrid_sql(alpha: float, beta: float, gamma: float, boost: str = "0.0", extra: str = "") -> str:
@@ -343,7 +352,8 @@ def _hybrid_sql(alpha: float, beta: float, gamma: float, boost: str = "0.0", ext
 
 
 def _hybrid(spark, sf_dir, weights=(ALPHA, BETA, GAMMA), clicked=None):
-    prior = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", F.col("n_chars").cast("double").alias("score"))
+    labelled = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    prior = labelled.select("doc_id", F.col("n_chars").cast("double").alias("score"))
     semantic = ranking.cosine_to(vectors(spark, sf_dir), first_vector(spark, sf_dir))
     scored = ranking.hybrid(lexical(spark, sf_dir, QUESTION), prior, semantic, clicked, *weights)
     for c in ("bm25", "pagerank", "semantic"):
@@ -395,12 +405,13 @@ def trade(spark, sf_dir) -> DataFrame:
 
 
 def _pagerank_sql(rounds: int, preferred: bool) -> str:
-    jump = f"(1 - {BIAS}) / n + CASE WHEN node BETWEEN -10 AND -1 THEN {BIAS} / p ELSE 0 END" if preferred else "1.0 / n"
+    jump = f"(1 - {BIAS}) / n + CASE WHEN node IN (SELECT node FROM liked) THEN {BIAS} / p ELSE 0 END" if preferred else "1.0 / n"
     steps = ["""items AS (SELECT o_custkey AS c, -l_suppkey - 1 AS s, l_returnflag AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
     edges AS (SELECT c AS src, s AS dst FROM items UNION ALL SELECT s, c FROM items WHERE f = 'R'),
     w AS MATERIALIZED (SELECT src, dst, m / sum(m) OVER (PARTITION BY src) AS w FROM (SELECT src, dst, count(*) AS m FROM edges GROUP BY src, dst)),
     nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges),
-    total AS (SELECT count(*) AS n, count(*) FILTER (node BETWEEN -10 AND -1) AS p FROM nodes)""",
+    liked AS (SELECT -s_suppkey - 1 AS node FROM supplier WHERE s_acctbal < 0),
+    total AS (SELECT count(*) AS n, count(*) FILTER (node IN (SELECT node FROM liked)) AS p FROM nodes)""",
     f"s0 AS MATERIALIZED (SELECT node, {jump} AS t, node NOT IN (SELECT src FROM edges) AS d, {jump} AS s FROM nodes, total)"]
     for k in range(1, rounds + 1):
         steps.append(
@@ -421,7 +432,7 @@ def pagerank_k_iters(spark, sf_dir):
 
 @query(_pagerank_sql(5, True))
 def personalized_pagerank_k_iters(spark, sf_dir):
-    liked = table(spark, sf_dir, "supplier").where("s_suppkey < 10").select((-F.col("s_suppkey") - 1).alias("node"))
+    liked = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select((-F.col("s_suppkey") - 1).alias("node"))
     return _rounded(pagerank.pagerank(trade(spark, sf_dir), 5, 0, preferred=liked))
 
 
@@ -510,9 +521,9 @@ QUERIES["phrase_match"] = _strict('"thea thea"')
 ORACLES["phrase_match"] = f"WITH {BASE} SELECT DISTINCT a.doc_id FROM stream a JOIN stream b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 AND a.term = 'thea' AND b.term = 'thea'"
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 200), '(?i)(the)', '**\\1**', 'g'), '(?i)(an)', '**\\1**', 'g') AS marked FROM documents")
+@query("SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)(the)', '**\\1**', 'g'), '(?i)(an)', '**\\1**', 'g') AS marked FROM documents")
 def highlight(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", snippets.highlight(F.substring("text", 1, 200), ["the", "an"]).alias("marked"))
+    return table(spark, sf_dir, "documents").select("doc_id", snippets.highlight(F.col("text"), ["the", "an"]).alias("marked"))
 
 
 @query()
@@ -576,14 +587,13 @@ def content_dedup(spark, sf_dir):
 
 
 @query(
-    f"""WITH f AS (SELECT page_id, url, 1.0 / (page_id % 6 + 2) AS priority, page_id % 6 AS depth, {HOST_SQL} AS host FROM pages)
-    SELECT page_id, url, depth, host, (row_number() OVER (PARTITION BY host ORDER BY priority DESC, url, page_id))::INT AS slot FROM f WHERE depth <= 3"""
+    f"""WITH f AS (SELECT page_id, url, len(string_split(url, '/')) - 3 AS depth, {HOST_SQL} AS host FROM pages)
+    SELECT page_id, url, depth::INT AS depth, host, (row_number() OVER (PARTITION BY host ORDER BY 1.0 / (depth + 2) DESC, url, page_id))::INT AS slot FROM f WHERE depth <= 3"""
 )
 def frontier_schedule(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    found = pages.select("page_id", "url", (1.0 / (F.col("page_id") % 6 + 2)).alias("priority"), (F.col("page_id") % 6).alias("depth"))
-    keyed = found.withColumn("priority", F.struct("priority", (-F.col("page_id")).alias("k")))
-    return crawl.schedule(keyed.withColumn("priority", F.col("priority.priority"))).drop("priority")
+    """Pages as a frontier; their depth is that of their path."""
+    found = table(spark, sf_dir, "pages").select("page_id", "url", (F.size(F.split("url", "/")) - 3).alias("depth"))
+    return crawl.schedule(found.withColumn("priority", 1.0 / (F.col("depth") + 2))).drop("priority")
 
 
 ROBOTS = "User-agent: *\nDisallow: /en\nAllow: /en/1\nCrawl-delay: 2\nUser-agent: other\nDisallow: /\n"
@@ -599,7 +609,11 @@ def robots_filter(spark, sf_dir):
     return crawl.robots_filter(pages, crawl.robots_table(files))
 
 
-@query()
+@query(
+    """WITH RECURSIVE level(page_id, depth) AS (SELECT page_id, 0 FROM pages WHERE page_id = 0 UNION ALL
+      SELECT p.page_id, depth + 1 FROM level l JOIN pages p ON p.page_id IN (2 * l.page_id + 1, 2 * l.page_id + 2) WHERE depth < 3)
+    SELECT page_id, min(depth)::INT AS depth FROM level GROUP BY page_id"""
+)
 def crawl_bfs(spark, sf_dir):
     """From the first page over links that follow page numbers."""
     pages = table(spark, sf_dir, "pages").select("page_id")
