@@ -405,12 +405,12 @@ def trade(spark, sf_dir) -> DataFrame:
 
 
 def _pagerank_sql(rounds: int, preferred: bool) -> str:
-    jump = f"(1 - {BIAS}) / n + CASE WHEN node IN (SELECT node FROM liked) THEN {BIAS} / p ELSE 0 END" if preferred else "1.0 / n"
+    jump = f"CASE WHEN p = 0 THEN 1.0 / n ELSE (1 - {BIAS}) / n + CASE WHEN node IN (SELECT node FROM liked) THEN {BIAS} / p ELSE 0 END END" if preferred else "1.0 / n"
     steps = ["""items AS (SELECT o_custkey AS c, -l_suppkey - 1 AS s, l_returnflag AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
     edges AS (SELECT c AS src, s AS dst FROM items UNION ALL SELECT s, c FROM items WHERE f = 'R'),
     w AS MATERIALIZED (SELECT src, dst, m / sum(m) OVER (PARTITION BY src) AS w FROM (SELECT src, dst, count(*) AS m FROM edges GROUP BY src, dst)),
     nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges),
-    liked AS (SELECT -s_suppkey - 1 AS node FROM supplier WHERE s_acctbal < 0),
+    liked AS (SELECT -s_suppkey - 1 AS node FROM supplier WHERE s_acctbal > 5000),
     total AS (SELECT count(*) AS n, count(*) FILTER (node IN (SELECT node FROM liked)) AS p FROM nodes)""",
     f"s0 AS MATERIALIZED (SELECT node, {jump} AS t, node NOT IN (SELECT src FROM edges) AS d, {jump} AS s FROM nodes, total)"]
     for k in range(1, rounds + 1):
@@ -432,7 +432,7 @@ def pagerank_k_iters(spark, sf_dir):
 
 @query(_pagerank_sql(5, True))
 def personalized_pagerank_k_iters(spark, sf_dir):
-    liked = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select((-F.col("s_suppkey") - 1).alias("node"))
+    liked = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select((-F.col("s_suppkey") - 1).alias("node"))
     return _rounded(pagerank.pagerank(trade(spark, sf_dir), 5, 0, preferred=liked))
 
 
