@@ -1,11 +1,12 @@
 """Content extraction by wrapper induction from pages of the same host.
 
-Each page's DOM is aligned with that of its host's first page (the seed) by simple tree
+Each page's DOM is aligned with that of its host's first page that has text (the seed) by simple tree
 matching: nodes match if their tags do and their parents match, children in order, and the
-matching has the greatest weight. Text nodes that match the same node of the seed fill the
-same slot. A slot's text is constant if at least half of the pages that have the slot, and two at
+matching has the greatest weight. What stays unmatched is aligned with the first page of the page's own
+layout, if two pages of the host have this at least; a layout is the set of paths of container elements.
+Text nodes that match the same node of a seed fill the same slot. A slot's text is constant if at least half of the pages that have the slot, and two at
 least, say the same there: this is template. Texts of varying slots, and text nodes without a
-counterpart in the seed, are content.
+counterpart in either seed, are content.
 
 Pages of a host are spread over as many groups as it needs, so a host with millions of pages is
 not one task's work; only counts of hashes and the constants of each host are gathered.
@@ -22,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import re
 import sys
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,7 @@ GROUP_PAGES, SHARE, LEAST_PAGES = 500, 0.5, 2
 _TOKEN = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)[^>]*>", re.S | re.I)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+_CONTAINERS = frozenset("body div ul ol table section article nav aside main dl header footer form".split())
 _BARRIER = frozenset("body div ul ol table section article nav aside main dl select".split())
 
 
@@ -165,9 +168,43 @@ def slots(seed: Node, page: list[Node]) -> list[tuple[int, str]]:
     return [(matched.get(n.number, -1), n.text) for n in page if n.tag == "#"]
 
 
+def layout(page: list[Node]) -> int | None:
+    """A number for the page's set of paths of containers; none for a page without text."""
+    if not any(n.tag == "#" for n in page):
+        return None
+    names, known = {"html"}, {page[0].number: 0}
+    for node in page:  # parents come before their children
+        at = known[node.number]
+        for kid in node.kids:
+            known[kid.number] = at
+            if kid.tag in _CONTAINERS:
+                known[kid.number] = zlib.crc32(kid.tag.encode(), at)
+                names.add(str(known[kid.number]))
+    return zlib.crc32(" ".join(sorted(names)).encode()) & 0x7FFFFFFF
+
+
+def _layouts(html: pd.Series) -> pd.Series:
+    return pd.Series([layout(parse(h if isinstance(h, str) else None)) for h in html], dtype="Int64")
+
+
 def _align(pages: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
-    seed = parse(seeds["html"].iloc[0])[0]
-    found = [slots(seed, parse(h if isinstance(h, str) else None)) for h in pages["html"]]
+    texts = dict(zip(seeds["layout"].tolist(), seeds["html"]))
+    main = next((k for k, first in zip(texts, seeds["main"]) if first), None)
+    roots: dict[int, Node] = {}
+
+    def root(k: int) -> Node:
+        if k not in roots:
+            roots[k] = parse(texts[k])[0]
+        return roots[k]
+
+    found = []
+    for h in pages["html"]:
+        page = parse(h if isinstance(h, str) else None)
+        own = slots(root(main), page) if main is not None else []
+        if any(s < 0 for s, _ in own) and (kind := layout(page)) != main and kind in texts:
+            more = slots(root(kind), page)
+            own = [(s if s >= 0 or m < 0 else (kind + 1 << 32) + m, t) for (s, t), (m, _) in zip(own, more)]
+        found.append(own)
     return pd.DataFrame({
         "page_id": pages["page_id"], "host": pages["host"], "slots": [[s for s, _ in f] for f in found], "texts": [[t for _, t in f] for f in found],
     })
@@ -177,14 +214,17 @@ def extract(pages: DataFrame, share: float = SHARE) -> DataFrame:
     """(page_id, host, nodes, template_nodes, content) of every page; content has a line for each text node."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1), F.lit("")))
     known = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    first = F.struct(F.coalesce("page_id", F.lit(2**63 - 1)), F.coalesce("html", F.lit("")))
-    hosts = known.groupBy("host").agg(F.min_by(F.coalesce("html", F.lit("")), first).alias("html"), F.count("*").alias("pages"))
-    hosts = cut(hosts.withColumn("groups", F.ceil(F.col("pages") / GROUP_PAGES)))
+    place = F.coalesce("page_id", F.lit(2**63 - 1))
+    first = F.struct(place, F.coalesce("html", F.lit("")))
+    layouts = known.withColumn("layout", F.pandas_udf(_layouts, "bigint")("html")).groupBy("host", "layout").agg(F.min_by(F.coalesce("html", F.lit("")), first).alias("html"), F.min(place).alias("place"), F.count("*").alias("pages"))
+    layouts = cut(layouts)
+    hosts = layouts.groupBy("host").agg(F.ceil(F.sum("pages") / GROUP_PAGES).alias("groups"), F.min_by("layout", F.when(F.col("layout").isNotNull(), F.struct("place", "html"))).alias("main"))
     spread = hosts.where("groups > 1").select(F.col("host").alias("hot"), "groups")
     pages_in = known.join(spread, F.col("host") == F.col("hot"), "left")
     pages_in = pages_in.select("page_id", "host", "html", F.pmod(F.xxhash64("page_id", "html"), F.coalesce("groups", F.lit(1))).alias("part"))
-    seeds = hosts.select("host", "html", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)).alias("part"))
-    schema = "page_id bigint, host string, slots array<int>, texts array<string>"
+    seeds = layouts.join(hosts, "host").where("layout = main OR layout IS NOT NULL AND pages > 1")
+    seeds = seeds.select("host", "html", "layout", (F.col("layout") == F.col("main")).alias("main"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)).alias("part"))
+    schema = "page_id bigint, host string, slots array<bigint>, texts array<string>"
     aligned = cut(pages_in.groupBy("host", "part").cogroup(seeds.groupBy("host", "part")).applyInPandas(_aligned_if_any, schema))
     said = aligned.select("host", F.explode(F.arrays_zip("slots", "texts")).alias("s")).where("s.slots >= 0")
     counts = said.groupBy("host", "s.slots", F.xxhash64("s.slots", "s.texts").alias("key")).agg(F.count("*").alias("n"))

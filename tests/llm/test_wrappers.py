@@ -109,3 +109,13 @@ def test_hard_rows(spark):
     assert len(found) == len(rows) and by[1]["nodes"] == 0 and by[1]["content"] == "" and by[6]["nodes"] == 2000 and by[6]["template_nodes"] == 0
     assert by[5]["content"] == "" and by[5]["template_nodes"] == 1
     assert wr.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("first", [None, "", "<p>Not found", "<table><tr><td>Old</td></tr></table>"])
+def test_one_page_does_not_stand_for_the_host(spark, first):
+    """The first page is null, empty, an error page or of another layout; the host has two layouts besides."""
+    article = "<body><nav><a>Home</a></nav><div><p>Text {}</p></div><footer>Imprint</footer></body>"
+    listing = "<body><header><h2>All items</h2></header><ul><li>Item {}</li></ul><aside>Advice</aside></body>"
+    rows = [(0, "http://a.example/", first)] + [(k, "http://a.example/", (article if k % 2 else listing).format(k)) for k in range(1, 13)]
+    found = {r["page_id"]: r["content"] for r in wr.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [found[k] for k in range(1, 13)] == [f"{'Text' if k % 2 else 'Item'} {k}" for k in range(1, 13)]
