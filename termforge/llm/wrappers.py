@@ -4,16 +4,16 @@ Each page's DOM is aligned with that of its host's first page that has text (the
 matching: nodes match if their tags do and their parents match, children in order, and the
 matching has the greatest weight. What stays unmatched is aligned with the first page of the page's own
 layout, if two pages of the host have this at least; a layout is the set of paths of container elements.
-Text nodes that match the same node of a seed fill the same slot. A slot's text is constant if at least half of the pages that have the slot, and two at
-least, say the same there: this is template. Texts of varying slots, and text nodes without a
+Text nodes that match the same node of a seed fill the same slot. A slot's text is constant if at least half of the different pages that have the slot, and two at
+least, say the same there: this is template. Pages that say the same in all slots are copies and vote once. Texts of varying slots, and text nodes without a
 counterpart in either seed, are content.
 
 Pages of a host are spread over as many groups as it needs, so a host with millions of pages is
 not one task's work; only counts of hashes and the constants of each host are gathered.
 
 Defined results: a host is the lower-cased authority of the URL, '' without one; the only page of a host has no
-template; null or empty pages have no slots and empty content; repeated rows are pages like
-any other, so what they share counts as constant; of several first pages (equal page_id, or none)
+template; null or empty pages have no slots and empty content; where all rows of a host that say anything
+repeat one page, what they share counts as constant; of several first pages (equal page_id, or none)
 the one with the least text is the seed; rows without page_id keep their content, without
 an id. An empty table gives an empty result. Other columns are ignored.
 """
@@ -226,10 +226,12 @@ def extract(pages: DataFrame, share: float = SHARE) -> DataFrame:
     seeds = seeds.select("host", "html", "layout", (F.col("layout") == F.col("main")).alias("main"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)).alias("part"))
     schema = "page_id bigint, host string, slots array<bigint>, texts array<string>"
     aligned = cut(pages_in.groupBy("host", "part").cogroup(seeds.groupBy("host", "part")).applyInPandas(_aligned_if_any, schema))
-    said = aligned.select("host", F.explode(F.arrays_zip("slots", "texts")).alias("s")).where("s.slots >= 0")
-    counts = said.groupBy("host", "s.slots", F.xxhash64("s.slots", "s.texts").alias("key")).agg(F.count("*").alias("n"))
-    most = counts.groupBy("host", "slots").agg(F.sum("n").alias("total"), F.max(F.struct("n", "key")).alias("top"))
-    constant = most.where((F.col("top.n") >= LEAST_PAGES) & (F.col("top.n") >= share * F.col("total")))
+    keys = F.transform(F.filter(F.arrays_zip("slots", "texts"), lambda x: x["slots"] >= 0), lambda x: F.struct(x["slots"].alias("slot"), F.xxhash64(x["slots"], x["texts"]).alias("key")))
+    votes = aligned.select("host", F.xxhash64("slots", "texts").alias("page"), keys.alias("keys")).where("size(keys) > 0").groupBy("host", "page").agg(F.first("keys").alias("keys"), F.count("*").alias("copies"))
+    alone = votes.groupBy(F.col("host").alias("lone")).agg(F.count("*").alias("distinct"), F.sum("copies").alias("copies")).where(f"distinct = 1 AND copies >= {LEAST_PAGES}").select("lone")
+    counts = votes.select("host", F.explode("keys").alias("s")).groupBy("host", F.col("s.slot").alias("slots"), F.col("s.key").alias("key")).agg(F.count("*").alias("n"))
+    most = counts.groupBy("host", "slots").agg(F.sum("n").alias("total"), F.max(F.struct("n", "key")).alias("top")).join(alone, F.col("host") == F.col("lone"), "left")
+    constant = most.where(F.col("lone").isNotNull() | (F.col("top.n") >= LEAST_PAGES) & (F.col("top.n") >= share * F.col("total")))
     template = constant.groupBy(F.col("host").alias("of")).agg(F.collect_list("top.key").alias("keys"))
     joined = aligned.join(template, F.col("host") == F.col("of"), "left")
     fixed = lambda x: (x["slots"] >= 0) & F.array_contains(F.coalesce("keys", F.array().cast("array<bigint>")), F.xxhash64(x["slots"], x["texts"]))

@@ -119,3 +119,11 @@ def test_one_page_does_not_stand_for_the_host(spark, first):
     rows = [(0, "http://a.example/", first)] + [(k, "http://a.example/", (article if k % 2 else listing).format(k)) for k in range(1, 13)]
     found = {r["page_id"]: r["content"] for r in wr.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert [found[k] for k in range(1, 13)] == [f"{'Text' if k % 2 else 'Item'} {k}" for k in range(1, 13)]
+
+
+def test_copies_vote_once(spark):
+    """An article with many copies stays content beside other pages; the template still goes."""
+    page = "<body><nav><a>Home</a></nav><p>Text {}</p></body>"
+    rows = [(k, "http://a.example/", page.format(min(k, 3))) for k in range(12)]
+    found = {r["page_id"]: r["content"] for r in wr.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert found == {k: f"Text {min(k, 3)}" for k in range(12)}
