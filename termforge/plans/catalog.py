@@ -621,6 +621,19 @@ def crawl_bfs(spark, sf_dir):
     return crawl.crawl(pages, pages.where("page_id = 0"), links)
 
 
+@query(
+    """WITH RECURSIVE items AS (SELECT o_custkey AS c, -l_suppkey - 1 AS s, l_returnflag AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    edges AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT c AS src, s AS dst FROM items UNION ALL SELECT s, c FROM items WHERE f = 'R')),
+    level(page_id, depth) AS (SELECT min(c_custkey), 0 FROM customer GROUP BY c_nationkey UNION SELECT dst, depth + 1 FROM level JOIN edges ON src = page_id WHERE depth < 3)
+    SELECT page_id, min(depth)::INT AS depth FROM level WHERE page_id IN (SELECT src FROM edges UNION SELECT dst FROM edges) GROUP BY page_id"""
+)
+def crawl_trade(spark, sf_dir):
+    """Over the whole trade graph, from each nation's first customer."""
+    links = pagerank._cut(trade(spark, sf_dir).distinct())
+    seeds = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("page_id")).select("page_id")
+    return crawl.crawl(pagerank.nodes_of(links).withColumnRenamed("node", "page_id"), seeds, links)
+
+
 # --- service ------------------------------------------------------------------------------------
 
 

@@ -161,3 +161,16 @@ def test_exchange(spark, tmp_path):
         assert spark.read.format(form).load(str(tmp_path / form), header=True).count() == 2
     with pytest.raises(ValueError):
         exchange.write_results(urls, str(tmp_path / "x"), "xml")
+
+
+def test_crawl_over_the_whole_graph(spark, sf_dir):
+    """By brute force: all that is reached over all edges, not an id subset."""
+    from termforge.plans import catalog
+
+    edges = {(r["src"], r["dst"]) for r in catalog.trade(spark, sf_dir).collect()}
+    seeds = {r["s"] for r in spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_nationkey").agg({"c_custkey": "min"}).toDF("n", "s").collect()}
+    expected = {n: 0 for n in seeds & {n for e in edges for n in e}}
+    for depth in (1, 2, 3):
+        expected |= {b: depth for b in {b for a, b in edges if a in expected} - set(expected)}
+    found = {r["page_id"]: r["depth"] for r in catalog.QUERIES["crawl_trade"](spark, sf_dir).collect()}
+    assert found == expected and len(found) > 15
