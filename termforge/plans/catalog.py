@@ -567,7 +567,7 @@ links AS (SELECT page_id, regexp_replace(u, '[?#].*$', '') AS target FROM f WHER
 
 @query(f"WITH {_LINKS} SELECT page_id, target FROM links")
 def link_extract(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(U.page_links_native(F.col("html"), F.col("url"))).alias("target"))
+    return crawl.link_graph(table(spark, sf_dir, "pages"))
 
 
 @query(f"WITH {_LINKS} SELECT links.page_id AS src, p.page_id AS dst FROM links JOIN pages p ON target = p.url")

@@ -75,3 +75,18 @@ def test_hosts_and_links(spark):
     assert found == ["http://a.example/x", "http://b.example/y", "http://c.example", "http://a.example/d/z", "http://a.example/x"]
     assert spark.createDataFrame([(page, "http://a.example/d/e")], "h string, b string").select(U.page_links("h", "b")).first()[0] == found
     assert U.links_of(None, None) == []
+
+
+def test_link_extract_resolves_all_references(spark, tmp_path):
+    """The registered query beside urljoin, for relative, unquoted and upper-case references."""
+    from urllib.parse import urljoin
+
+    from termforge.plans import catalog
+
+    base = "http://a.example/d/e.html"
+    hrefs = ["about.html", "../x", "HTTP://b.example/y", "//c.example/z", "/w", "https://d.example/", "./v/u"]
+    page = "".join(f'<a href="{h}">x</a>' for h in hrefs) + "<a href=bare.html>x</a><a class=k href='one'>x</a><a href='?p=2'>x</a><a href='mailto:a@b'>x</a>"
+    spark.createDataFrame([(1, base, page)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = sorted(r["target"] for r in catalog.QUERIES["link_extract"](spark, str(tmp_path)).collect())
+    expected = [urljoin(base, h) for h in [*hrefs, "bare.html", "one"]] + [urljoin(base, "?p=2").split("?")[0]]
+    assert found == sorted(u.replace("HTTP:", "http:") for u in expected)
