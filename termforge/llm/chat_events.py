@@ -24,7 +24,7 @@ no conversations. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termforge.llm.common import table
@@ -71,10 +71,13 @@ def as_events(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
     Users' turns come whole and, every third time, misspelt at first and then edited.
     Assistants' turns are streamed in pieces; every third one is broken off and
     regenerated. Every seventh event is delivered twice. Rows without conv_id or turn are left out.
+    Messages are numbered by turn, role and text, so different rows of a turn are
+    messages of their own; rows equal in all four columns are one.
     """
     turns = conversations.select(
         F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce("text", F.lit("")).alias("text")
     ).where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    turns = turns.withColumn("msg", F.dense_rank().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("bigint"))
     again = F.expr("pmod(conv_id + turn, 3) = 0")
     kind = lambda k, t: F.struct(F.lit(k).alias("kind"), t.alias("text"))
     text, cut = F.col("text"), F.expr("substring(text, 1, length(text) div 2)")
@@ -83,7 +86,7 @@ def as_events(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
     opened = F.array(kind("open", F.lit("")))
     whole = F.when(again, F.array(kind("open", F.reverse(text)), kind("edit", text))).otherwise(F.array(kind("open", text)))
     streamed = F.when(again, F.concat(opened, F.array(kind("delta", cut), kind("regenerate", F.lit(""))), deltas)).otherwise(F.concat(opened, deltas))
-    steps = turns.select("conv_id", F.col("turn").alias("msg"), "role", F.posexplode(F.when(F.col("role") == "assistant", streamed).otherwise(whole)).alias("k", "e"))
+    steps = turns.select("conv_id", "msg", "role", F.posexplode(F.when(F.col("role") == "assistant", streamed).otherwise(whole)).alias("k", "e"))
     log = steps.select("conv_id", (F.col("msg") * 1_000_000 + F.col("k")).alias("seq"), "msg", "e.kind", "role", "e.text")
     return log.withColumn("times", F.explode(F.when(F.expr("pmod(seq, 7) = 0"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("times")
 

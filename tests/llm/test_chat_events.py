@@ -70,3 +70,11 @@ def test_hard_rows(spark):
     turn = "<|im_start|>{}\n{}<|im_end|>\n"
     assert found == {1: (3, turn.format("user", "") + turn.format("assistant", "") + turn.format("unknown", "no role")), 2: (1, turn.format("assistant", long)), 4: (1, turn.format("user", "same"))}
     assert ce.reconstruct(ce.as_events(conversations.limit(0))).count() == 0
+
+
+def test_different_rows_of_a_turn_are_messages_of_their_own(spark):
+    rows = [(1, 0, "user", "x" * 90), (1, 0, "user", "y" * 50), (1, 1, "assistant", "z" * 100), (1, 1, "assistant", "z" * 100), (2, 5, "user", "q")]
+    conversations = spark.createDataFrame(rows[::-1], "conv_id bigint, turn bigint, role string, text string")
+    found = {r["conv_id"]: (r["messages"], r["rendered"]) for r in ce.reconstruct(ce.as_events(conversations)).collect()}
+    line = lambda r: f"{ce.HEADER}{r[2]}{ce.MIDDLE}{r[3]}{ce.END}"
+    assert found == {1: (3, "".join(map(line, rows[:3]))), 2: (1, line(rows[4]))}
