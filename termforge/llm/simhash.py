@@ -16,7 +16,10 @@ duplicate; equal fingerprints (copies, repeated rows) are joined by their smalle
 doc_id before any pair is formed, so a group of a million copies makes no pairs; rows whose
 doc_id is null can't be named in a result and are left out of groups (``deduplicate``
 keeps them); rows that repeat a doc_id are one document; in a tie the smallest
-doc_id stays. An empty table gives an empty result. Other columns are ignored.
+doc_id stays; a fingerprint is over the whole text however long. An empty table gives an empty result. Other columns are ignored.
+
+While groups are small one exact segment is the shuffle's key; for more rows the second segment joins it
+(``GROUP_ROWS``). Either plan finds the same pairs. Pairs are compared and vetted a block at a time.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ TAU = 24
 GROUP_ROWS = 200_000
 #: Rows on average that one call of the pair search gets, as some whole groups.
 BUCKET_ROWS = 50_000
+#: Pairs whose distance, and those whose segments' differences, are held at once; no limit to what is compared.
+MOST_COMPARED, VETTED = 1 << 20, 1 << 13
 _BIT_TABLE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float32)
 _LANES = (np.arange(8) * 256)[None, :]
 
@@ -124,10 +129,9 @@ def _masks(width: int, most: int) -> list[tuple[int, int]]:
 class _Chains:
     """All pairs within tau between two sets whose chains start at segment ``start``."""
 
-    def __init__(self, hi: np.ndarray, lo: np.ndarray, start: int, tau: int):
-        ring = segments(tau)
-        self.hi, self.lo, self.tau, self.m = hi, lo, tau, len(ring)
-        self.ring = [ring[(start + k) % self.m] for k in range(self.m)]
+    def __init__(self, hi: np.ndarray, lo: np.ndarray, node: np.ndarray, start: int, tau: int):
+        self.ring = segments(tau)
+        self.hi, self.lo, self.node, self.start, self.tau, self.m = hi, lo, node, start, tau, len(self.ring)
         self.found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def pairs(self, a: np.ndarray, b: np.ndarray, at: int, used: int) -> None:
@@ -135,15 +139,18 @@ class _Chains:
         if not len(a) or not len(b):
             return
         if len(a) * len(b) <= 1 << 18 or at >= 4:
-            for k in range(0, len(a), 512):
-                rows = a[k : k + 512]
-                d = np.bitwise_count(self.hi[rows, None] ^ self.hi[b])
-                d += np.bitwise_count(self.lo[rows, None] ^ self.lo[b])
-                x, y = np.nonzero(d <= self.tau)
-                if len(x):
-                    self.found.append((rows[x], b[y]))
+            step = max(1, MOST_COMPARED // len(b))
+            for k in range(0, len(a), step):
+                rows = a[k : k + step]
+                for j in range(0, len(b), MOST_COMPARED):
+                    others = b[j : j + MOST_COMPARED]
+                    d = np.bitwise_count(self.hi[rows, None] ^ self.hi[others])
+                    d += np.bitwise_count(self.lo[rows, None] ^ self.lo[others])
+                    x, y = np.nonzero(d <= self.tau)
+                    if len(x):
+                        self.vet(rows[x], others[y])
             return
-        first, width = self.ring[at]
+        first, width = self.ring[(self.start + at) % self.m]
         parts = []
         for side in (a, b):
             v = _values(self.hi[side], self.lo[side], first, width).astype(np.int64)
@@ -155,20 +162,26 @@ class _Chains:
                 w = v ^ mask
                 self.pairs(sa[ca[v] : ca[v + 1]], sb[cb[w] : cb[w + 1]], at + 1, used + n)
 
-    def result(self, start: int) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs for which ``start`` is the first segment that any full chain starts at."""
-        if not self.found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b = (np.concatenate(x) for x in zip(*self.found))
-        x, y = self.hi[a] ^ self.hi[b], self.lo[a] ^ self.lo[b]
-        diff = np.stack([np.bitwise_count(_values(x, y, *s)) for s in segments(self.tau)], axis=1).astype(np.int64)
-        earliest = np.full(len(a), self.m)
-        for k in range(self.m - 1, -1, -1):
-            sums = np.cumsum(np.roll(diff, -k, axis=1), axis=1)
-            fine = (sums * self.m <= np.arange(1, self.m + 1) * self.tau).all(axis=1)
-            earliest[fine] = k
-        keep = earliest == start
-        return a[keep], b[keep]
+    def vet(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Keep the pairs, the lesser node first, for which ``start`` is the first segment that any full chain starts at.
+
+        A chain that starts at ``k`` is full if no sum of ``m * difference - tau`` from there on is above 0;
+        so the greatest of the next ``m`` sums around the ring may not be above that before ``k``.
+        """
+        lesser = self.node[a] < self.node[b]
+        a, b = a[lesser], b[lesser]
+        for at in range(0, len(a), VETTED):
+            i, j = a[at : at + VETTED], b[at : at + VETTED]
+            x, y = self.hi[i] ^ self.hi[j], self.lo[i] ^ self.lo[j]
+            sums = np.zeros((self.m + 1, len(i)), np.int16)
+            for k, s in enumerate(self.ring):
+                sums[k + 1] = sums[k] + np.bitwise_count(_values(x, y, *s)).astype(np.int16) * np.int16(self.m) - np.int16(self.tau)
+            after = np.maximum.accumulate(sums[:0:-1], axis=0)[::-1]  # of k + 1 to m
+            before = np.maximum.accumulate(sums[:-1], axis=0) + sums[-1]  # of m + 1 to m + k, with that of m
+            full = np.maximum(after, before) <= sums[:-1]
+            keep = full.any(axis=0) & (full.argmax(axis=0) == self.start)
+            if keep.any():
+                self.found.append((self.node[i[keep]], self.node[j[keep]]))
 
 
 def _bucket_pairs(tau: int):
@@ -181,21 +194,18 @@ def _bucket_pairs(tau: int):
         node, flips, starts = pdf["node"].to_numpy(), pdf["flip"].to_numpy(), pdf["start"].to_numpy()
         depth = 2 if pdf["deep"].iloc[0] else 1
         edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
-        left, right = [], []
+        found = []
         for begin, end in zip(edges, edges[1:]):
             if end - begin < 2:
                 continue
             part = slice(begin, end)
             own, flipped = np.flatnonzero(flips[part] == 0), np.flatnonzero(flips[part] != 0)
-            chains = _Chains(hi[part], lo[part], int(starts[begin]), tau)
+            chains = _Chains(hi[part], lo[part], node[part], int(starts[begin]), tau)
             chains.pairs(own, own, depth, 0)
             chains.pairs(flipped, own, depth, 1)
-            a, b = chains.result(int(starts[begin]))
-            a, b = node[part][a], node[part][b]
-            left.append(a[a < b])
-            right.append(b[a < b])
+            found += chains.found
         none = [np.zeros(0, np.int64)]
-        return pd.DataFrame({"a": np.concatenate(left or none), "b": np.concatenate(right or none)})
+        return pd.DataFrame({"a": np.concatenate([a for a, _ in found] or none), "b": np.concatenate([b for _, b in found] or none)})
 
     return run
 
@@ -273,10 +283,12 @@ def deduplicate(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_co
     hash stays; rows without doc_id stay as they are.
     """
     gone = near_duplicates(identified(docs, id_col, text_col), tau).where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    left = docs.join(gone, docs[id_col].cast("bigint") == gone["__gone"], "left_anti")
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col).cast("string")))
-    once = left.withColumn("__nth", F.row_number().over(order))
-    return once.where(F.col(id_col).isNull() | (F.col("__nth") == 1)).drop("__nth")
+    number = F.col(id_col).cast("bigint")
+    known = docs.where(number.isNotNull()).withColumn("__id", number)
+    left = known.join(gone, known["__id"] == gone["__gone"], "left_anti")
+    order = Window.partitionBy("__id").orderBy(F.xxhash64(F.col(text_col).cast("string")))  # the join's own partitioning
+    once = left.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth", "__id")
+    return once.unionByName(docs.where(number.isNull()))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
