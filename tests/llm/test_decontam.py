@@ -1,3 +1,5 @@
+from pathlib import Path
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -24,7 +26,7 @@ def frames(spark):
     rows = [
         (1, f"so, {ITEM.upper().replace(' ', ' - ')}?", "a"), (2, "it begins: what is the capital city of the northern, and ends", "a"), (3, "what is the capital city of the southern", None),
         (4, None, None), (5, "", None), (None, ITEM, None), (6, ITEM, "x"), (6, ITEM, "x"), (7, "too short an", None), (8, "say: five words are an item!", None),
-        (9, "filler " * 40_000 + ITEM, None), (10, "fivewords are an item", None)]
+        (9, "filler " * 40_000 + ITEM, None), (10, "fivewords are an item", None), (11, "it is too short an item", None)]
     return spark.createDataFrame(rows, "doc_id bigint, text string, plain string"), benchmark
 
 
@@ -32,9 +34,9 @@ def test_hard_rows(spark):
     docs, benchmark = frames(spark)
     found = {(r["doc_id"], r["item_id"]): r["strings"] for r in decontam.contaminated(docs, benchmark).collect()}
     windows = len(ITEM.split()) - decontam.WORDS + 1
-    assert found == {(d, i): windows for d in (1, 6, 9) for i in (1, 2)} | {(2, i): 1 for i in (1, 2)} | {(8, 6): 1}
+    assert found == {(d, i): windows for d in (1, 6, 9) for i in (1, 2)} | {(2, i): 1 for i in (1, 2)} | {(8, 6): 1, (7, 3): 1}
     kept = decontam.decontaminate(docs, benchmark)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 7, 10]
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 10, 11]
 
 
 def test_empty_tables(spark):
@@ -48,4 +50,25 @@ def test_a_large_benchmark_is_searched_in_parts(spark):
     docs, benchmark = frames(spark)
     whole, parts = (sorted(map(tuple, decontam.contaminated(docs, benchmark, most=m).collect())) for m in (1 << 20, 100))
     assert whole == parts
-    assert sorted(r["doc_id"] for r in decontam.decontaminate(docs, benchmark, most=100).collect()) == [3, 4, 5, 7, 10]
+    assert sorted(r["doc_id"] for r in decontam.decontaminate(docs, benchmark, most=100).collect()) == [3, 4, 5, 10, 11]
+
+
+def test_rows_of_one_document_count_together(spark):
+    """Different rows of a doc_id hold different strings of an item; however many passes, each string counts once. Against substring search."""
+    text = "aa bb cc dd ee ff gg hh ii jj kk ll mm"
+    benchmark = spark.createDataFrame([(1, text), (2, "five words are an item"), (3, "two words"), (4, "aa bb cc dd ee ff gg hh"), (4, "bb cc dd ee ff gg hh ii")], "item_id bigint, text string")
+    rows = [(1, "x aa bb cc dd ee ff gg hh y"), (1, "x ff gg hh ii jj kk ll mm y"), (1, "x aa bb cc dd ee ff gg hh y"), (2, "so five words are an item"), (3, "Two, words!"), (4, "two words more"), (5, "aa bb cc dd ee ff gg")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    passes = [sorted(map(tuple, decontam.contaminated(docs, benchmark, most=m).collect())) for m in (1 << 20, 60, 1)]
+    assert passes == [[(1, 1, 2), (1, 4, 1), (2, 2, 1), (3, 3, 1)]] * 3
+    assert sorted(r["doc_id"] for r in decontam.decontaminate(docs, benchmark, most=60).collect()) == [4, 5]
+
+
+def test_sql_says_the_same_of_hard_rows(spark, sf_dir, tmp_path):
+    docs, benchmark = frames(spark)
+    for other in Path(sf_dir).iterdir():
+        if other.stem not in ("documents", "benchmark"):
+            (tmp_path / other.name).symlink_to(other)
+    for name, df in (("documents", docs), ("benchmark", benchmark)):
+        df.toPandas().astype({c: "Int64" for c in df.columns if c.endswith("_id")}).to_parquet(tmp_path / f"{name}.parquet")
+    assert spark_rows(decontam.contaminated(docs, benchmark)) == oracle_rows(str(tmp_path), decontam.ORACLE_OP6)
