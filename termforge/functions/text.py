@@ -1,14 +1,16 @@
 """Normalising, tokenising and stemming as Spark expressions, with Python twins for query strings.
 
-All native but for the full Unicode decomposition and character offsets, which have no
-built-in and are Arrow UDFs.
+All native but for rare entities, signs that stand for several letters, and character offsets: for these
+there is no built-in, and the texts that hold them go through Arrow UDFs.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,21 +28,40 @@ _TOKENS = ty.ArrayType(ty.StructType().add("term", ty.StringType()).add("positio
 TOKEN = r"[a-z0-9]+(?:[-'][a-z0-9]+)*"
 
 
-def _accented() -> tuple[str, str]:
-    """Precomposed letters whose decomposition is one ASCII letter and marks, and these letters."""
-    pairs = []
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(plain) == 1 and plain.isascii() and plain != chr(code):
-            pairs.append((chr(code), plain))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+#: What Python's patterns and ``str.split`` take for space; Java's ``\\s`` is ASCII only.
+SPACES = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_URLS = URLS.replace(r"\S", f"[^{SPACES}]")
+#: An ampersand that may begin an entity beyond ``ENTITIES``.
+_RARE = "&(?!(?:" + "|".join(e[1:-1] for e, _ in ENTITIES) + ");)[#A-Za-z]"
+
+
+@cache
+def _letters() -> tuple[str, str, str]:
+    """All of Unicode by compatibility decomposition without combining marks: signs of one letter or digit and
+    these, with signs of nothing at the end; and as a class of a pattern, signs that become several, of which one counts."""
+    one, many, nothing = [], set(), []
+    for code in range(0x80, sys.maxunicode + 1):
+        sign = chr(code)
+        plain = "".join(c for c in unicodedata.normalize("NFKD", sign) if not unicodedata.combining(c))
+        if plain == sign:
+            continue
+        if not plain:
+            nothing.append(sign)
+        elif re.search("[a-zA-Z0-9-]", plain):
+            if len(plain) == 1:
+                one.append((sign, plain))
+            else:
+                many.add(code)
+    many |= {code for code in range(0x80, sys.maxunicode + 1) if any(ord(c) in many for c in chr(code).lower())}
+    return "".join(a for a, _ in one) + "".join(nothing), "".join(b for _, b in one), "".join(f"\\x{{{code:x}}}" for code in sorted(many))
 
 
-ACCENTED, UNACCENTED = _accented()
+def unescape(c: Column) -> Column:
+    """All entities: those of ``ENTITIES`` natively, ampersands last; only texts that may hold others go to ``unescape_all``."""
+    return F.coalesce(unescape_all(F.when(c.rlike(_RARE), c)), _usual(c))
 
 
-def unescape(c: Column) -> Column:
-    """The entities of ``ENTITIES``, ampersands last; ``unescape_all`` knows all of HTML's."""
+def _usual(c: Column) -> Column:
     for entity, sign in ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(sign))
     return c
@@ -59,35 +80,48 @@ def decompose(c: pd.Series) -> pd.Series:
 
 
 def strip_accents(c: Column) -> Column:
-    """Latin letters without accents, natively."""
-    return F.regexp_replace(F.translate(c, ACCENTED, UNACCENTED), r"\p{M}+", "")
+    """Letters and digits without accents and in their plain forms, natively; signs that become several letters stay."""
+    signs, plain, _ = _letters()
+    return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(c, signs, plain)).otherwise(c)
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, f"[{SPACES}]+", " "))
 
 
 def normalize(c: Column, lowercase: bool = True, strip_html: bool = True, strip_urls: bool = True, accents: bool = True) -> Column:
-    """Entities, tags, URLs, case, accents, then anything but letters, digits and hyphens; null is ''."""
-    c = F.coalesce(c.cast("string"), F.lit(""))
+    """Entities, tags, URLs, case, accents, then anything but letters, digits and hyphens; null is ''.
+
+    Native but for texts that hold rare entities or signs that become several letters; these alone go to Python.
+    """
+    raw = c = F.coalesce(c.cast("string"), F.lit(""))
     if strip_html:
-        c = F.regexp_replace(unescape(c), TAGS, " ")
+        c = F.regexp_replace(_usual(c), TAGS, " ")
     if strip_urls:
-        c = F.regexp_replace(c, URLS, " ")
+        c = F.regexp_replace(c, _URLS, " ")
     if lowercase:
         c = F.lower(c)
     if accents:
         c = strip_accents(c)
-    return collapse(F.regexp_replace(c, DROPPED, " "))
+    native = F.trim(F.regexp_replace(c, r"[^a-z0-9-]+", " "))
+    hard = [p for p, on in ((_RARE, strip_html), (f"[{_letters()[2]}]", accents)) if on]
+    if not hard:
+        return native
+
+    @F.pandas_udf(ty.StringType())
+    def whole(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: normalize_string(t, lowercase, strip_html, strip_urls, accents), na_action="ignore")
+
+    return F.coalesce(whole(F.when(raw.rlike("|".join(hard)), raw)), native)
 
 
 def page_title(html: Column) -> Column:
-    return F.trim(unescape(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    return F.regexp_replace(unescape(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)), f"^[{SPACES}]+|[{SPACES}]+$", "")
 
 
 def page_text(html: Column) -> Column:
     """Visible text: no scripts, styles and tags; case, accents and URLs stay."""
-    c = F.regexp_replace(unescape(F.coalesce(html, F.lit(""))), r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", "")
+    c = F.regexp_replace(unescape(F.coalesce(html, F.lit(""))), r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " ")
     return collapse(F.regexp_replace(c, TAGS, " "))
 
 
@@ -118,9 +152,10 @@ def stem_sql(t: str) -> str:
     return f"CASE WHEN length({t}) <= 3 THEN {t} {rules} ELSE {t} END"
 
 
-def terms(normal: Column) -> Column:
-    """Array of stemmed terms."""
-    return F.filter(F.transform(tokens(normal), stem), lambda t: F.length(t) >= MIN_TERM)
+def terms(normal: Column, remove_stopwords: bool = True, shortest: int = MIN_TOKEN, longest: int = MAX_TOKEN) -> Column:
+    """Array of stemmed terms. A stem has ``MIN_TERM`` letters at least, as the token has: no second filter is needed."""
+    found = F.transform(tokens(normal, remove_stopwords, shortest, longest), stem)
+    return found if shortest >= MIN_TERM else F.filter(found, lambda t: F.length(t) >= MIN_TERM)
 
 
 @F.pandas_udf(_TOKENS)
@@ -145,10 +180,17 @@ def stem_word(word: str) -> str:
     return word
 
 
-def normalize_string(text: str | None) -> str:
-    """``normalize`` for one string on the driver."""
-    text = re.sub(URLS, " ", re.sub(TAGS, " ", entities.unescape(text or ""))).lower()
-    text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+def normalize_string(text: str | None, lowercase: bool = True, strip_html: bool = True, strip_urls: bool = True, accents: bool = True) -> str:
+    """``normalize`` for one string in Python."""
+    text = text or ""
+    if strip_html:
+        text = re.sub(TAGS, " ", entities.unescape(text))
+    if strip_urls:
+        text = re.sub(URLS, " ", text)
+    if lowercase:
+        text = text.lower()
+    if accents:
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     return " ".join(re.sub(DROPPED, " ", text).split())
 
 

@@ -9,10 +9,16 @@ from termforge.functions import text as T
 from termforge.functions.codec import vbyte_size
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """As they are, unless they come in fewer parts than there are cores: a small file of one row group would be one task's work."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if not docs.isStreaming and docs._jdf.rdd().getNumPartitions() < cores else docs
+
+
 def token_stream(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, pos, term): positions count kept tokens only. No shuffle: a document is one row."""
-    kept = docs.select("doc_id", F.posexplode(T.tokens(T.normalize(F.col(text_col)))).alias("pos", "raw"))
-    return kept.select("doc_id", "pos", T.stem(F.col("raw")).alias("term")).where(F.length("term") >= T.MIN_TERM)
+    kept = spread(docs.select("doc_id", text_col)).select("doc_id", F.posexplode(T.tokens(T.normalize(F.col(text_col)))).alias("pos", "raw"))
+    return kept.select("doc_id", "pos", T.stem(F.col("raw")).alias("term"))  # tokens and their stems have MIN_TERM letters at least
 
 
 def term_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -28,7 +34,7 @@ def postings(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def doc_lengths(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, doc_len); documents without terms have 0. No shuffle."""
-    return docs.select("doc_id", F.size(T.terms(T.normalize(F.col(text_col)))).cast("bigint").alias("doc_len"))
+    return spread(docs.select("doc_id", text_col)).select("doc_id", F.size(T.tokens(T.normalize(F.col(text_col)))).cast("bigint").alias("doc_len"))
 
 
 def doc_frequency(tf: DataFrame) -> DataFrame:

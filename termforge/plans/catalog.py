@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,10 +44,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def unescape_sql(x: str) -> str:
-    for entity, sign in T.ENTITIES:
-        quoted = sign.replace("'", "''")
-        x = f"replace({x}, '{entity}', '{quoted}')"
-    return x
+    """By the names of HTML 4 as Python's library lists them, not by the engine's own list."""
+    y = f"replace(replace({x}, '&#39;', chr(39)), '&apos;', chr(39))"
+    for name, code in name2codepoint.items():
+        if name != "amp":
+            y = f"replace({y}, '&{name};', chr({code}))"
+    return f"CASE WHEN contains({x}, '&') THEN regexp_replace({y}, '&amp;?', '&', 'g') ELSE {x} END"
 
 
 def norm_sql(x: str) -> str:
@@ -109,8 +112,8 @@ def page_title(spark, sf_dir):
 
 
 @query(
-    f"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace({unescape_sql('html')}, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'),
-    '{T.TAGS}', ' ', 'g'), '\\s+', ' ', 'g')) AS body FROM pages"""
+    f"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace({unescape_sql('html')}, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'),
+    '{T.TAGS}', ' ', 'g'), '[\\s\\x{{a0}}]+', ' ', 'g')) AS body FROM pages"""
 )
 def page_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.page_text(F.col("html")).alias("body"))

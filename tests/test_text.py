@@ -1,5 +1,9 @@
+import sys
+from html.entities import html5
+
+import pandas as pd
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -20,6 +24,23 @@ def test_normalize_and_its_twin(spark, raw, expected):
     assert one(spark, T.normalize(F.col("x")), raw) == expected == T.normalize_string(raw)
 
 
+def test_twins_over_all_of_unicode(spark):
+    """Every code point, between letters and alone, and every entity; the query's words must be those of the index."""
+    texts = [f"a{chr(c)}b {chr(c)}" for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    texts += [f"x&{name}y https://z.example/&{name} q" for name in html5] + [f"&#{n};&#x{n:x};&#{n}" for n in range(0x3000)]
+    found = spark.createDataFrame(pd.DataFrame({"x": texts})).repartition(4).select("x", T.normalize(F.col("x")).alias("y")).toPandas()
+    wrong = [(x, y, T.normalize_string(x)) for x, y in zip(found["x"], found["y"]) if y != T.normalize_string(x)]
+    assert len(found) == len(texts) and not wrong, wrong[:20]
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.text(max_size=40) | st.text("aé &;#x3<>/-wW.\u00a0\ufb01\u0301htps:ampltcoy", max_size=40), min_size=300, max_size=400))
+def test_twins_on_any_text(spark, texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    found = spark.createDataFrame([(t,) for t in texts], "x string").select("x", T.normalize(F.col("x")).alias("y")).collect()
+    assert [(r["x"], r["y"]) for r in found] == [(t, T.normalize_string(t)) for t in texts]
+
+
 def test_toggles(spark):
     assert one(spark, T.normalize(F.col("x"), strip_html=False, strip_urls=False), "<b> http://a.b") == "b http a b"
     assert one(spark, T.decompose(F.col("x")), "ﬁé") == "fie" and one(spark, T.unescape_all(F.col("x")), "&eacute;&#65;") == "éA"
