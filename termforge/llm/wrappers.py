@@ -329,18 +329,19 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _votes(wrapper_of: Callable[[str], Wrapper | None], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, page, keys) of pages of hosts that have a wrapper: a hash of all the page says, and its slots with hashes of their texts."""
+    """(host, page, slots, keys) of pages of hosts that have a wrapper: a hash of all the page says, and its slots with hashes of their texts."""
     for pages in _pieces(batches):
-        hosts, said, keys = [], [], []
+        hosts, said, found, keys = [], [], [], []
         for host, html in zip(pages["host"], pages["html"]):
             wrapper = wrapper_of(host)
             own = wrapper.slots(parse(html)) if wrapper and isinstance(html, str) else []
-            found = [{"slot": s, "key": _hash(t)} for s, t in own if s >= 0]
-            if found:
+            slots = np.array([s for s, _ in own if s >= 0], np.int64)
+            if len(slots):
                 hosts.append(host)
-                keys.append(found)
+                found.append(slots)
+                keys.append(np.array([_hash(t) for s, t in own if s >= 0], np.int64))
                 said.append(_hash("\n".join(f"{s} {t}" for s, t in own)))
-        yield pd.DataFrame({"host": pd.Series(hosts, dtype=object), "page": pd.Series(said, dtype="int64"), "keys": pd.Series(keys, dtype=object)})
+        yield pd.DataFrame({"host": pd.Series(hosts, dtype=object), "page": pd.Series(said, dtype="int64"), "slots": pd.Series(found, dtype=object), "keys": pd.Series(keys, dtype=object)})
 
 
 def _contents(wrapper_of: Callable[[str], Wrapper | None], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -411,8 +412,8 @@ def extract(pages: DataFrame, share: float = SHARE) -> DataFrame:
     found = known.withColumn("place", place).join(chosen.drop("groups"), ["host", "place"])
     seeds = cut(found.groupBy("host", "layout").agg(F.any_value("html").alias("html"), F.any_value("main").alias("main")))
     small = (seeds.agg(F.sum(F.octet_length("html"))).first()[0] or 0) <= MOST_SEED_BYTES
-    votes = _over_pages(known, seeds, groups, small, _votes, "host string, page bigint, keys array<struct<slot:bigint, key:bigint>>")
-    once = votes.groupBy("host", "page").agg(F.any_value("keys").alias("keys")).select("host", F.explode("keys").alias("s")).select("host", "s.slot", "s.key")
+    votes = _over_pages(known, seeds, groups, small, _votes, "host string, page bigint, slots array<bigint>, keys array<bigint>")
+    once = votes.groupBy("host", "page").agg(F.any_value(F.arrays_zip(F.col("slots").alias("slot"), F.col("keys").alias("key"))).alias("s")).select("host", F.inline("s"))
     total = once.groupBy("host", "slot").agg(F.count("*").alias("total"))
     same = once.groupBy("host", "slot", "key").agg(F.count("*").alias("n")).where(f"n >= {LEAST_PAGES}")
     constant = same.join(total, ["host", "slot"]).where(F.col("n") >= share * F.col("total"))
