@@ -42,9 +42,9 @@ def _letters() -> tuple[str, str, str]:
     one, many, nothing = [], set(), []
     for code in range(0x80, sys.maxunicode + 1):
         sign = chr(code)
-        plain = "".join(c for c in unicodedata.normalize("NFKD", sign) if not unicodedata.combining(c))
-        if plain == sign:
+        if not unicodedata.decomposition(sign) and not unicodedata.combining(sign):
             continue
+        plain = "".join(c for c in unicodedata.normalize("NFKD", sign) if not unicodedata.combining(c))
         if not plain:
             nothing.append(sign)
         elif re.search("[a-zA-Z0-9-]", plain):
@@ -52,8 +52,11 @@ def _letters() -> tuple[str, str, str]:
                 one.append((sign, plain))
             else:
                 many.add(code)
-    many |= {code for code in range(0x80, sys.maxunicode + 1) if any(ord(c) in many for c in chr(code).lower())}
-    return "".join(a for a, _ in one) + "".join(nothing), "".join(b for _, b in one), "".join(f"\\x{{{code:x}}}" for code in sorted(many))
+    many |= {code for code in range(0x80, sys.maxunicode + 1) if (low := chr(code).lower()) != chr(code) and any(ord(c) in many for c in low)}
+    begins = [code for code in sorted(many) if code - 1 not in many]
+    ends = [code for code in sorted(many) if code + 1 not in many]
+    ranges = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(begins, ends))
+    return "".join(a for a, _ in one) + "".join(nothing), "".join(b for _, b in one), rf"(?=[^\x00-\x7f])[{ranges}]"  # ASCII is past the first test
 
 
 def unescape(c: Column) -> Column:
@@ -79,10 +82,10 @@ def decompose(c: pd.Series) -> pd.Series:
     return c.map(lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)), na_action="ignore")
 
 
-def strip_accents(c: Column) -> Column:
-    """Letters and digits without accents and in their plain forms, natively; signs that become several letters stay."""
+def _plain(c: Column) -> Column:
+    """Letters and digits without accents and in their plain forms; signs that become several letters stay."""
     signs, plain, _ = _letters()
-    return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(c, signs, plain)).otherwise(c)
+    return F.translate(c, signs, plain)
 
 
 def collapse(c: Column) -> Column:
@@ -95,16 +98,21 @@ def normalize(c: Column, lowercase: bool = True, strip_html: bool = True, strip_
     Native but for texts that hold rare entities or signs that become several letters; these alone go to Python.
     """
     raw = c = F.coalesce(c.cast("string"), F.lit(""))
+    marked, foreign = raw.rlike("[&<]"), raw.rlike(r"[^\x00-\x7f]|&#")  # plain texts skip what can't change them
+
+    def where(test: Column, changed: Column, c: Column) -> Column:
+        return F.when(test, changed).otherwise(c)
+
     if strip_html:
-        c = F.regexp_replace(_usual(c), TAGS, " ")
+        c = where(marked, F.regexp_replace(_usual(c), TAGS, " "), c)
     if strip_urls:
-        c = F.regexp_replace(c, _URLS, " ")
+        c = where(marked | raw.contains("http") | raw.contains("www"), F.regexp_replace(c, _URLS, " "), c)
     if lowercase:
         c = F.lower(c)
     if accents:
-        c = strip_accents(c)
+        c = where(foreign, _plain(c), c)
     native = F.trim(F.regexp_replace(c, r"[^a-z0-9-]+", " "))
-    hard = [p for p, on in ((_RARE, strip_html), (f"[{_letters()[2]}]", accents)) if on]
+    hard = [p for p, on in ((_RARE, strip_html), (_letters()[2], accents)) if on]
     if not hard:
         return native
 

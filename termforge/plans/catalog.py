@@ -103,7 +103,7 @@ def lexical(spark: SparkSession, sf_dir: str, *questions: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {norm_sql('text')} AS norm FROM documents")
 def normalize_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("norm"))
+    return index.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.normalize(F.col("text")).alias("norm"))
 
 
 @query(f"SELECT page_id, trim({unescape_sql(r'''regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)''')}) AS title FROM pages")
