@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from termforge.functions import text as T
 from termforge.functions import urls as U
 from termforge.functions.constants import MAX_DEPTH
-from termforge.operators.pagerank import _cut
+from termforge.sources.shared import cut
 
 ROBOT = "termforge"
 
@@ -113,11 +113,11 @@ def crawl(pages: DataFrame, seeds: DataFrame, links: DataFrame, max_depth: int =
     A job for each level; a level's pages that were seen before are left out by an anti-join.
     """
     known = pages.select("page_id")
-    seen = _cut(seeds.join(known, "page_id", "left_semi").distinct().withColumn("depth", F.lit(0)))
+    seen = cut(seeds.join(known, "page_id", "left_semi").distinct().withColumn("depth", F.lit(0)))
     level = seen
     for depth in range(1, max_depth + 1):
         found = links.join(level.select(F.col("page_id").alias("src")), "src").select(F.col("dst").alias("page_id")).distinct()
-        level = _cut(found.join(known, "page_id", "left_semi").join(seen, "page_id", "left_anti").withColumn("depth", F.lit(depth)))
+        level = cut(found.join(known, "page_id", "left_semi").join(seen, "page_id", "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             break
         seen = seen.unionByName(level)

@@ -17,8 +17,14 @@ def spread(docs: DataFrame) -> DataFrame:
 
 def token_stream(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, pos, term): positions count kept tokens only. No shuffle: a document is one row."""
-    kept = spread(docs.select("doc_id", text_col)).select("doc_id", F.posexplode(T.tokens(T.normalize(F.col(text_col)))).alias("pos", "raw"))
-    return kept.select("doc_id", "pos", T.stem(F.col("raw")).alias("term"))  # tokens and their stems have MIN_TERM letters at least
+    return _stream(docs, text_col).select("doc_id", "pos", "term")
+
+
+def _stream(docs: DataFrame, text_col: str) -> DataFrame:
+    """With doc_len besides."""
+    kept = spread(docs.select("doc_id", text_col)).select("doc_id", T.tokens(T.normalize(F.col(text_col))).alias("kept"))
+    raw = kept.select("doc_id", F.size("kept").cast("bigint").alias("doc_len"), F.posexplode("kept").alias("pos", "raw"))
+    return raw.select("doc_id", "doc_len", "pos", T.stem(F.col("raw")).alias("term"))  # tokens and their stems have MIN_TERM letters at least
 
 
 def term_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -26,10 +32,15 @@ def term_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return token_stream(docs, text_col).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
+def sized_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(doc_id, term, tf, doc_len), as the index stores them: scoring needs no other table by document."""
+    return _stream(docs, text_col).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.any_value("doc_len").alias("doc_len"))
+
+
 def postings(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, term, tf, positions)."""
-    found = token_stream(docs, text_col).groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return found.select("doc_id", "term", F.size("positions").cast("bigint").alias("tf"), "positions")
+    """(doc_id, term, tf, positions, doc_len)."""
+    found = _stream(docs, text_col).groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.any_value("doc_len").alias("doc_len"))
+    return found.select("doc_id", "term", F.size("positions").cast("bigint").alias("tf"), "positions", "doc_len")
 
 
 def doc_lengths(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -75,7 +86,7 @@ def merge_postings(*parts: DataFrame) -> DataFrame:
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    merged = union.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    merged = union.select("doc_id", "term", "tf", "positions").groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
     return merged.select("doc_id", "term", "tf", "positions")
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termforge.functions.constants import HEADS, NAVIGATIONAL, SYNONYMS, TRANSACTIONAL
+from termforge.functions.constants import HEADS, MAX_TOKEN, NAVIGATIONAL, SYNONYMS, TRANSACTIONAL
 
 MOST_EDITS = 2
+#: Words up to which comparing each with every term is cheaper than sending forms of all terms.
+FEW_WORDS = 1000
 
 
 def intent(query: Column) -> Column:
@@ -15,19 +19,62 @@ def intent(query: Column) -> Column:
     return F.when(q.rlike(NAVIGATIONAL), "navigational").when(q.rlike(TRANSACTIONAL), "transactional").otherwise("informational")
 
 
-def corrections(words: DataFrame, vocabulary: DataFrame, most: int = MOST_EDITS) -> DataFrame:
-    """(word, correction, distance) for words of more than two letters that aren't in the vocabulary.
+def intent_of(query: str) -> str:
+    """``intent`` on the driver."""
+    q = query.strip().lower()
+    return "navigational" if re.search(NAVIGATIONAL, q) else "transactional" if re.search(TRANSACTIONAL, q) else "informational"
 
-    The words of queries are few and broadcast; the vocabulary stays where it is, and lengths are
-    compared before distances. Ties go to the first term.
-    """
+
+def corrections(words: DataFrame, vocabulary: DataFrame, most: int = MOST_EDITS) -> DataFrame:
+    """(word, correction, distance) for words of more than two letters that aren't in the vocabulary. Ties go to the first term."""
     asked = words.select(F.lower("word").alias("word")).where(F.length("word") > 2).distinct()
     unknown = asked.join(vocabulary.withColumnRenamed("term", "word"), "word", "left_anti")
-    near = vocabulary.join(F.broadcast(unknown), F.abs(F.length("term") - F.length("word")) <= most)
+    return nearest_terms(unknown, vocabulary, most)
+
+
+def nearest_terms(unknown: DataFrame, vocabulary: DataFrame, most: int = MOST_EDITS, few: bool | None = None) -> DataFrame:
+    """(word, correction, distance): the nearest term within ``most`` edits.
+
+    Up to ``FEW_WORDS`` words (counted, unless ``few`` says so) are broadcast and compared with all terms of a fitting length where these
+    are. More words meet the terms with which they share a form that is left after ``most`` deletions at most: strings within
+    that many edits always do, so none is missed.
+    """
+    if few is None:
+        few = unknown.limit(FEW_WORDS + 1).count() <= FEW_WORDS
+    if few:
+        near = vocabulary.join(F.broadcast(unknown), F.abs(F.length("term") - F.length("word")) <= most)
+    else:
+        left = vocabulary.select("term", F.explode(_deletions(F.col("term"), most)).alias("form"))
+        right = unknown.where(F.length("word") <= MAX_TOKEN + most).select("word", F.explode(_deletions(F.col("word"), most)).alias("form"))
+        near = left.join(right, "form").select("word", "term").distinct()
     measured = near.withColumn("distance", F.levenshtein("word", "term", most)).where("distance >= 0")
     return measured.groupBy("word").agg(F.min(F.struct("distance", "term")).alias("best")).select("word", F.col("best.term").alias("correction"), F.col("best.distance").alias("distance"))
 
 
+def _deletions(word: Column, most: int) -> Column:
+    """The word and all that is left of it after up to ``most`` deletions, each once."""
+
+    def shorter(w: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(w.substr(F.lit(1), i - 1), w.substr(i + 1, F.length(w))))
+        return F.when(F.length(w) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    forms = last = F.array(word)
+    for _ in range(most):
+        last = F.array_distinct(F.flatten(F.transform(last, shorter)))
+        forms = F.array_union(forms, last)
+    return forms
+
+
+def process(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(query_id, original, rewritten, intent, expanded) of a table of queries (query_id, text): what the engine understands of one, for all in one job."""
+    asked = queries.select("query_id", F.trim(F.coalesce("text", F.lit(""))).alias("original"))
+    words = asked.select("query_id", "original", F.posexplode_outer(F.filter(F.split(F.lower("original"), r"\s+"), lambda w: w != "")).alias("pos", "word"))
+    fixed = corrections(words.where("word IS NOT NULL"), vocabulary).select(F.col("word").alias("wrong"), "correction")
+    mended = words.join(fixed, F.col("word") == F.col("wrong"), "left").withColumn("word", F.coalesce("correction", "word"))
+    whole = mended.groupBy("query_id", "original").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", "word")))), lambda x: x["word"]).alias("words"))
+    return whole.select("query_id", "original", F.array_join("words", " ").alias("rewritten"), intent(F.col("original")).alias("intent"), expand(F.col("words")).alias("expanded"))
+
+
 def _map(pairs: dict[str, tuple[str, ...]]) -> Column:
     return F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
 

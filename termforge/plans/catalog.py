@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from html.entities import name2codepoint
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termforge.functions import codec
 from termforge.functions import text as T
 from termforge.functions import urls as U
-from termforge.functions.constants import ALPHA, B, BETA, BIAS, DAMPING, GAMMA, HEADS, K1, NAVIGATIONAL, STOPWORDS, SYNONYMS, TRACKING, TRANSACTIONAL
+from termforge.functions.constants import ALPHA, B, BETA, BIAS, DAMPING, GAMMA, HEADS, ITERATIONS, K1, NAVIGATIONAL, STOPWORDS, SYNONYMS, TOLERANCE, TRACKING, TRANSACTIONAL
 from termforge.operators import boolean, crawl, index, pagerank, ranking, snippets, understanding
 from termforge.plans import parser
+from termforge.sources.shared import cut, new_folder
 from termforge.sources.store import IndexStore, upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,8 +94,8 @@ def lens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical(spark: SparkSession, sf_dir: str, *questions: str) -> DataFrame:
-    lengths = lens(spark, sf_dir)
-    return ranking.score_bm25(tfs(spark, sf_dir), lengths, index.corpus_stats(lengths), ranking.query_frame(spark, *questions))
+    tf = index.sized_frequencies(table(spark, sf_dir, "documents"))
+    return ranking.score_bm25(tf, None, index.corpus_stats(lens(spark, sf_dir)), ranking.query_frame(spark, *questions))
 
 
 # --- text ---------------------------------------------------------------------------------------
@@ -130,7 +130,13 @@ def stem_vocab(spark, sf_dir):
     return raw.select("raw", T.stem(F.col("raw")).alias("stem"))
 
 
-@query()
+@query(
+    f"""WITH n AS (SELECT doc_id, {norm_sql('text')} AS s FROM documents),
+    p AS (SELECT doc_id, unnest(regexp_extract_all(s, '{_TOKEN}')) AS raw, unnest(string_split_regex(s, '{_TOKEN}')) AS gap, unnest(range(1, len(s) + 2)) AS nth FROM n),
+    w AS (SELECT doc_id, raw, nth, sum(length(gap)) OVER o + coalesce(sum(length(raw)) OVER o, 0) - length(raw) AS begins FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY nth ROWS UNBOUNDED PRECEDING)),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1 AS position FROM w WHERE raw IS NOT NULL AND length(raw) BETWEEN 2 AND 40 AND raw NOT IN ({_STOP}))
+    SELECT doc_id, {T.stem_sql('raw')} AS term, position::INT AS position, begins::INT AS start_char, (begins + length(raw))::INT AS end_char FROM kept"""
+)
 def token_offsets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens_with_offsets(T.normalize(F.col("text")))).alias("t"))
     return docs.select("doc_id", "t.*")
@@ -146,7 +152,7 @@ def term_frequencies(spark, sf_dir):
 
 @query(f"WITH {BASE} SELECT doc_id, term, count(*) AS tf, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM stream GROUP BY ALL")
 def postings(spark, sf_dir):
-    found = index.postings(table(spark, sf_dir, "documents"))
+    found = index.postings(table(spark, sf_dir, "documents")).drop("doc_len")
     return found.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
 
 
@@ -194,20 +200,35 @@ def vbyte_round_trip(spark, sf_dir):
     return read.select("doc_id", "term", F.array_join(sums.cast("array<string>"), " ").alias("decoded"))
 
 
+def _stored(spark, sf_dir) -> DataFrame:
+    """All documents with the columns that the index store takes."""
+    known = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc://"), "doc_id").alias("url"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("content"))
+    return known.withColumn("crawled_at", F.lit(None).cast("timestamp"))
+
+
+def _in_four_segments(spark, sf_dir) -> IndexStore:
+    store = IndexStore(spark, f"{new_folder(spark)}/index")
+    for k in range(4):
+        store.add(_stored(spark, sf_dir).where(F.col("doc_id") % 4 == k))
+    return store
+
+
 @query(f"WITH {BASE} SELECT term, doc_id, tf FROM tf WHERE term IN ('ernt', 'onea')")
 def term_lookup(spark, sf_dir):
-    return tfs(spark, sf_dir).where(F.col("term").isin("ernt", "onea")).select("term", "doc_id", "tf")
+    """By the sorted files of an index."""
+    store = IndexStore(spark, f"{new_folder(spark)}/index")
+    store.add(_stored(spark, sf_dir))
+    return store.lookup(["ernt", "onea"]).select("term", "doc_id", "tf")
 
 
 @query(f"WITH {BASE}, s AS (SELECT doc_id % 4 AS segment_id, term FROM tf) SELECT segment_id, term, count(*) AS df FROM s GROUP BY ALL")
 def segment_doc_frequency(spark, sf_dir):
-    return tfs(spark, sf_dir).groupBy((F.col("doc_id") % 4).alias("segment_id"), "term").agg(F.count("*").alias("df"))
+    return _in_four_segments(spark, sf_dir).terms().select("segment_id", "term", "df")
 
 
-@query(f"WITH {BASE}, s AS (SELECT doc_id % 4 AS segment_id, doc_id, term FROM tf) SELECT segment_id, count(DISTINCT doc_id) AS num_docs, count(DISTINCT term) AS num_terms FROM s GROUP BY ALL")
+@query(f"WITH {BASE}, s AS (SELECT doc_id % 4 AS segment_id, doc_id, term FROM tf) SELECT l.segment_id, l.num_docs, count(DISTINCT term) AS num_terms FROM (SELECT doc_id % 4 AS segment_id, count(*) AS num_docs FROM lengths GROUP BY 1) l LEFT JOIN s USING (segment_id) GROUP BY ALL")
 def segment_meta(spark, sf_dir):
-    parts = tfs(spark, sf_dir).groupBy((F.col("doc_id") % 4).alias("segment_id"))
-    return parts.agg(F.count_distinct("doc_id").alias("num_docs"), F.count_distinct("term").alias("num_terms"))
+    return _in_four_segments(spark, sf_dir).segments()
 
 
 _TOXIC = "SELECT doc_id FROM labels WHERE toxic = 1"
@@ -255,9 +276,7 @@ def upsert_documents(spark, sf_dir):
 @query(f"WITH {BASE} SELECT term, count(*) AS df FROM tf WHERE doc_id NOT IN ({_TOXIC}) GROUP BY term")
 def store_round_trip(spark, sf_dir):
     """All documents written as two segments, the toxic ones deleted, the segments merged and read again."""
-    docs = table(spark, sf_dir, "documents")
-    known = docs.select("doc_id", F.concat(F.lit("doc://"), "doc_id").alias("url"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("content"), F.lit(None).cast("timestamp").alias("crawled_at"))
-    store = IndexStore(spark, f"{_folder(spark)}/index")
+    known, store = _stored(spark, sf_dir), IndexStore(spark, f"{new_folder(spark)}/index")
     store.add(known.where("doc_id % 2 = 0"))
     store.add(known.where("doc_id % 2 = 1"))
     store.delete(toxic(spark, sf_dir))
@@ -265,14 +284,6 @@ def store_round_trip(spark, sf_dir):
     return index.doc_frequency(store.postings())
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    import uuid
-
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{named.rstrip('/')}/{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="termforge-")
-
-
 # --- ranking ------------------------------------------------------------------------------------
 
 
@@ -300,8 +311,8 @@ _BATCH = f"""asked AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (S
 def bm25_query_batch(spark, sf_dir):
     """All benchmark texts as queries in one job."""
     asked = ranking.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    lengths = lens(spark, sf_dir)
-    return ranking.top_k_per_query(ranking.score_bm25(tfs(spark, sf_dir), lengths, index.corpus_stats(lengths), asked, small=False), TOP)
+    tf = index.sized_frequencies(table(spark, sf_dir, "documents"))
+    return ranking.top_k_per_query(ranking.score_bm25(tf, None, index.corpus_stats(lens(spark, sf_dir)), asked, small=False), TOP)
 
 
 _VECTOR = "e AS (SELECT vec_id AS doc_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings)"
@@ -337,8 +348,7 @@ def _scaled(x: str, over: str = "PARTITION BY query_id") -> str:
 
 @query(f"WITH {BASE}, {asked_sql(QUESTION)}, {BM25_SQL} SELECT doc_id, round({_scaled('score')}, 6) AS norm FROM lexical")
 def minmax_normalize(spark, sf_dir):
-    over = Window.partitionBy("query_id")
-    return lexical(spark, sf_dir, QUESTION).select("doc_id", F.round(ranking.minmax(F.col("score"), over), 6).alias("norm"))
+    return ranking.normalized(lexical(spark, sf_dir, QUESTION), "score").select("doc_id", F.round("score", 6).alias("norm"))
 
 
 #: A score that only the labelled documents have, as PageRank knows linked ones only.
@@ -424,6 +434,15 @@ def _pagerank_sql(rounds: int, preferred: bool) -> str:
     return f"WITH {', '.join(steps)} SELECT node, round(s, 8) AS score FROM s{rounds}"
 
 
+def _settled_sql() -> str:
+    """All iterations; of every fifth one the first that changed the scores by less than the tolerance counts, or the last."""
+    sql = _pagerank_sql(ITERATIONS, False).partition(" SELECT node, round(s, 8)")[0]
+    checks = range(5, ITERATIONS, 5)
+    change = " UNION ALL ".join(f"SELECT {k} AS k, sum(abs(a.s - b.s)) AS c FROM s{k} a JOIN s{k - 1} b USING (node)" for k in checks)
+    some = " UNION ALL ".join(f"SELECT {k} AS k, node, s FROM s{k}" for k in [*checks, ITERATIONS])
+    return f"{sql}, changes AS ({change}), ends AS (SELECT coalesce(min(k), {ITERATIONS}) AS k FROM changes WHERE c < {TOLERANCE}) SELECT node, round(s, 8) AS score FROM ({some}) JOIN ends USING (k)"
+
+
 def _rounded(scores: DataFrame) -> DataFrame:
     return scores.select("node", F.round("score", 8).alias("score"))
 
@@ -444,9 +463,9 @@ def pagerank_top(spark, sf_dir):
     return pagerank.top(_rounded(pagerank.pagerank(trade(spark, sf_dir), 5, 0)), TOP)
 
 
-@query()
+@query(_settled_sql())
 def pagerank_converged(spark, sf_dir):
-    return pagerank.pagerank_converged(trade(spark, sf_dir))
+    return _rounded(pagerank.pagerank_converged(trade(spark, sf_dir)))
 
 
 # --- queries ------------------------------------------------------------------------------------
@@ -465,7 +484,7 @@ def _words_sql(words: tuple[str, ...]) -> str:
 )
 def spell_correct(spark, sf_dir):
     words = spark.createDataFrame([(w,) for w in MISSPELT], "word string")
-    return understanding.corrections(words, index.vocabulary(tfs(spark, sf_dir)))
+    return understanding.corrections(words, index.vocabulary(index.token_stream(table(spark, sf_dir, "documents"))))
 
 
 @query(f"WITH {_words_sql(MISSPELT)} SELECT a.word AS a, b.word AS b, levenshtein(a.word, b.word)::INT AS distance FROM words a, words b")
@@ -500,6 +519,22 @@ PARSED = ("two words", '"one phrase here"', "a AND b", "a OR b NOT c", "title:sp
 
 
 @query()
+def understand_batch(spark, sf_dir):
+    """All conversation texts as queries: corrected by the documents' vocabulary, with intent and expanded words. SQL would compare all words with all terms."""
+    asked = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("query_id"), "text")
+    terms = cut(index.vocabulary(index.token_stream(table(spark, sf_dir, "documents"))))
+    return understanding.process(asked, terms).withColumn("expanded", F.array_join("expanded", " "))
+
+
+#: By hand: what each query is, its tree, and its terms in order.
+_PARSED = (
+    ("two words", "keyword", "two words", "two words"), ('"one phrase here"', "phrase", '"one phrase here"', "one phrase here"), ("a AND b", "boolean", "(a AND b)", "a b"),
+    ("a OR b NOT c", "boolean", "((a OR b) NOT c)", "a b c"), ("title:spark engine", "keyword", "title:spark", "spark"), ("NOT x", "keyword", "not x", "not x"),
+    ("", "keyword", "", ""), ('"x" AND y', "boolean", '("x" AND y)', "x y"),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{v}'" for v in row) + ")" for row in _PARSED) + ") AS t(query, kind, tree, terms)")
 def parse_query(spark, sf_dir):
     rows = [(q, (p := parser.parse(q)).kind, str(p), " ".join(p.all_terms())) for q in PARSED]
     return spark.createDataFrame(rows, "query string, kind string, tree string, terms string")
@@ -529,7 +564,19 @@ def highlight(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", snippets.highlight(F.col("text"), ["the", "an"]).alias("marked"))
 
 
-@query()
+_SNIPPET = """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, lower(coalesce(text, '')) AS low FROM documents),
+hits AS (SELECT doc_id, n, unnest(list_concat([struct_pack(p := i, t := 'ernt') FOR i IN range(n) IF substr(low, i + 1, 4) = 'ernt'], [struct_pack(p := i, t := 'onea') FOR i IN range(n) IF substr(low, i + 1, 4) = 'onea'])) AS h
+  FROM d WHERE contains(low, 'ernt') OR contains(low, 'onea')),
+hit AS (SELECT doc_id, n, h.p AS p, h.t AS t, greatest(0, h.p - 100) AS b FROM hits),
+win AS (SELECT x.doc_id, x.p, x.t, x.b, count(*) + 2 * count(DISTINCT y.t) AS score FROM hit x JOIN hit y ON x.doc_id = y.doc_id AND y.p >= x.b AND y.p < least(x.n, x.b + 200) GROUP BY ALL),
+best AS (SELECT doc_id, b FROM win QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, p, t) = 1),
+cut AS (SELECT doc_id, n, coalesce(b, 0) AS b, least(coalesce(b, 0) + 200, n) AS e, substr(text, coalesce(b, 0) + 1, least(coalesce(b, 0) + 200, n) - coalesce(b, 0)) AS o FROM d LEFT JOIN best USING (doc_id)),
+fore AS (SELECT *, CASE WHEN b = 0 THEN o WHEN strpos(o, ' ') BETWEEN 2 AND 20 THEN '...' || substr(o, strpos(o, ' ') + 1) ELSE '...' || o END AS f FROM cut),
+aft AS (SELECT *, CASE WHEN contains(f, ' ') THEN length(f) - strpos(reverse(f), ' ') ELSE -1 END AS last FROM fore)
+SELECT doc_id, regexp_replace(regexp_replace(CASE WHEN e >= n THEN f WHEN last > length(f) - 20 THEN substr(f, 1, last) || '...' ELSE f || '...' END, '(?i)(ernt)', '**\\1**', 'g'), '(?i)(onea)', '**\\1**', 'g') AS snippet FROM aft"""
+
+
+@query(_SNIPPET)
 def snippet(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", snippets.snippet(["ernt", "onea"])("text").alias("snippet"))
 
@@ -579,6 +626,15 @@ def link_graph(spark, sf_dir):
     return crawl.resolve_links(crawl.link_graph(pages), pages)
 
 
+@query(f"WITH {_LINKS} SELECT target, count(*) AS links, count(DISTINCT links.page_id) AS pages, count(p.page_id) AS resolved FROM links LEFT JOIN pages p ON target = p.url GROUP BY target")
+def link_resolution(spark, sf_dir):
+    """Every target of a link: how often it is linked, from how many pages, and how many of the links lead to a page of the table."""
+    pages = table(spark, sf_dir, "pages")
+    links = crawl.link_graph(pages)
+    known = pages.select(F.col("url").alias("target"), F.col("page_id").alias("dst"))
+    return links.join(known, "target", "left").groupBy("target").agg(F.count("*").alias("links"), F.count_distinct("page_id").alias("pages"), F.count("dst").alias("resolved"))
+
+
 @query(r"SELECT doc_id, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS content_hash FROM documents")
 def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", crawl.content_hash(F.col("text")).alias("content_hash"))
@@ -632,7 +688,7 @@ def crawl_bfs(spark, sf_dir):
 )
 def crawl_trade(spark, sf_dir):
     """Over the whole trade graph, from each nation's first customer."""
-    links = pagerank._cut(trade(spark, sf_dir).distinct())
+    links = cut(trade(spark, sf_dir).distinct())
     seeds = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("page_id")).select("page_id")
     return crawl.crawl(pagerank.nodes_of(links).withColumnRenamed("node", "page_id"), seeds, links)
 
@@ -657,7 +713,7 @@ def stream_ingest(spark, sf_dir):
     """All documents through a file stream into segments, read back as document frequencies."""
     from termforge.streaming import ingest
 
-    folder = _folder(spark)
+    folder = new_folder(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc://"), "doc_id").alias("url"), F.lit("").alias("title"), F.col("text").alias("content"), F.lit(None).cast("timestamp").alias("crawled_at"))
     docs.repartition(2).write.parquet(f"{folder}/in")
     store = IndexStore(spark, f"{folder}/index")

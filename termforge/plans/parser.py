@@ -12,6 +12,8 @@ from termforge.functions import text as T
 from termforge.operators import boolean
 
 _OPERATOR = re.compile(r"\s+(AND|OR|NOT)\s+")
+#: Columns of the document table that a field may name.
+FIELDS = ("title", "url")
 _FIELD = re.compile(r"(\w+):(\S+)")
 
 
@@ -55,12 +57,20 @@ def parse(query: str) -> Query:
     return Query("keyword", terms=query.lower().split())
 
 
-def evaluate(query: Query, stream: DataFrame) -> DataFrame:
-    """(doc_id) that satisfy the tree strictly; words of a keyword query are alternatives."""
+def evaluate(query: Query, stream: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """(doc_id) that satisfy the tree strictly; words of a keyword query are alternatives.
+
+    ``name:value`` looks for all words of the value in the column ``name`` of ``meta``; where there is none, anywhere in the text.
+    """
     if query.kind == "phrase":
         return boolean.having_phrase(stream, T.terms_of(query.phrase))
     if query.kind == "boolean":
-        left, right = (evaluate(c, stream) for c in query.children)
+        left, right = (evaluate(c, stream, meta) for c in query.children)
         return {"AND": boolean.both, "OR": boolean.either, "NOT": boolean.without}[query.operator](left, right)
     terms = [t for w in query.terms for t in T.terms_of(w)]
-    return boolean.having_any(stream, terms) if terms else stream.select("doc_id").where(F.lit(False))
+    if not terms:
+        return stream.select("doc_id").where(F.lit(False))
+    if query.name and meta is not None and query.name.lower() in FIELDS:
+        said = T.terms(T.normalize(F.col(query.name.lower()), strip_urls=query.name.lower() != "url"))
+        return meta.withColumn("__said", said).where(F.forall(F.array(*map(F.lit, terms)), lambda t: F.array_contains("__said", t))).select("doc_id").distinct()
+    return boolean.having_any(stream, terms)

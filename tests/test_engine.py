@@ -1,10 +1,12 @@
 """The store, the engine, crawling, streams and exchange files, from end to end."""
 
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from termforge.functions import text as T
 from termforge.operators import crawl, index
 from termforge.plans.engine import SearchEngine
 from termforge.sources import exchange
@@ -174,3 +176,81 @@ def test_crawl_over_the_whole_graph(spark, sf_dir):
         expected |= {b: depth for b in {b for a, b in edges if a in expected} - set(expected)}
     found = {r["page_id"]: r["depth"] for r in catalog.QUERIES["crawl_trade"](spark, sf_dir).collect()}
     assert found == expected and len(found) > 15
+
+
+def test_an_engine_goes_on_where_another_one_stopped(spark, docs, engine):
+    again = SearchEngine(spark, engine.store.path, engine.weights)
+    for q in ("python programming", "serch engine", "learning data"):
+        one, two = (e.search(q, use_cache=False) for e in (engine, again))
+        assert [r | {"snippet": ""} for r in one["results"]] == [r | {"snippet": ""} for r in two["results"]] and one["results"]
+    weights = {"alpha": 0.2, "beta": 0.3, "gamma": 0.5}
+    found = again.search("search", config=weights | {"k1": 2.0})
+    assert found["config_used"] == weights | {"k1": 2.0, "b": 0.75, "click_boost": 0.05} and any(r["scores"]["pagerank"] > 0 for r in found["results"])
+    assert {r["scores"]["semantic"] for r in found["results"]} != {0.0}
+    with pytest.raises(ValueError):
+        again.search("search", config={"delta": 1.0})
+
+
+class Letters:
+    """An encoder of the engine's user."""
+
+    def table(self, docs):
+        return docs.select("doc_id", F.array(*[F.size(F.split("text", c)).cast("double") for c in "aem"]).alias("embedding"))
+
+    def vector(self, text):
+        return [float(text.count(c) + 1) for c in "aem"]
+
+
+def test_another_encoder(spark, docs, tmp_path):
+    engine = SearchEngine(spark, str(tmp_path / "e"), encoder=Letters())
+    engine.add(docs)
+    assert engine.store.vectors().first()["embedding"].__len__() == 3
+    assert [r["doc_id"] for r in engine.search("learning search", weights=(0.0, 0.0, 1.0))["results"]]
+
+
+def test_a_write_that_ends_halfway_changes_nothing(spark, docs, tmp_path, monkeypatch):
+    store = IndexStore(spark, str(tmp_path / "index"))
+    store.add(docs)
+    before, lengths = df_of(store), sorted(map(tuple, store.lengths().collect()))
+    changed = docs.withColumn("content", F.lit("entirely different"))
+    for step in ("_write", "_publish"):
+        real = getattr(store, step)
+
+        def broken(*args, **more):
+            if step == "_write":
+                real(*args, **more)
+            raise OSError("the disk is full")
+
+        monkeypatch.setattr(store, step, broken)
+        for change in (lambda: store.add(changed), lambda: store._merge([0])):
+            with pytest.raises(OSError):
+                change()
+        monkeypatch.undo()
+        other = IndexStore(spark, store.path)
+        assert df_of(other) == before and sorted(map(tuple, other.lengths().collect())) == lengths and other.segment_ids() == [0]
+    store.add(changed)
+    assert df_of(IndexStore(spark, store.path)) == {T.stem_word("entirely"): 3, T.stem_word("different"): 3}
+    store.sweep()
+    assert "python" not in df_of(store) and store.lengths().count() == 3
+    (tmp_path / "index/manifest/99.json").write_text("{broken")
+    assert IndexStore(spark, store.path).lengths().count() == 3
+
+
+def test_writers_do_not_overwrite_each_other(spark, docs, tmp_path):
+    one, two = (IndexStore(spark, str(tmp_path / "index")) for _ in range(2))
+    state = one.manifest()
+    two.add(docs)
+    with pytest.raises(RuntimeError):
+        one._publish(state, segments=[])
+    assert one.lengths().count() == 3
+
+
+def test_segments_of_a_size(spark, tmp_path):
+    """More documents than a segment holds make several, each full but the last."""
+    store = IndexStore(spark, str(tmp_path / "index"), segment_docs=2)
+    rows = [(k, f"u{k}", None, f"word{k} common", None) for k in range(5)] + [(None, "u", None, "nobody", None), (3, "u3", None, "later common", datetime(2024, 1, 1))]
+    assert store.add(spark.createDataFrame(rows, DOCUMENT)) == 2
+    assert sorted(r["num_docs"] for r in store.segments().collect()) == [1, 2, 2] and df_of(store)["common"] == 5
+    assert df_of(store)[T.stem_word("later")] == 1 and "word3" not in df_of(store) and "nobody" not in df_of(store)
+    assert store.add(spark.createDataFrame([], DOCUMENT)) is None and store.segment_ids() == [0, 1, 2]
+    assert {(r["term"], r["df"]) for r in store.terms().where("term = 'common'").groupBy("term").agg(F.sum("df").alias("df")).collect()} == {("common", 5)}

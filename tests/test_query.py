@@ -1,9 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from termforge.operators import boolean, index, snippets, understanding
 from termforge.plans import parser
-from termforge.plans.cache import ResultCache
+from termforge.plans.cache import RedisBackend, ResultCache
 
 
 def test_parsing():
@@ -91,3 +93,49 @@ def test_cache():
     cache.put(("x",), 1)
     cache.invalidate_all()
     assert cache.get(("x",)) is None and cache.version == 1 and 0 < cache.stats()["hit_rate"] < 1
+
+
+def test_cache_behind_the_cache():
+    """With any client that has get and set: another driver finds what the first one put."""
+    held = {}
+    client = type("Client", (), {"get": lambda self, k: held.get(k), "set": lambda self, k, v, px: held.__setitem__(k, v.encode())})()
+    first, second = (ResultCache(backend=RedisBackend(client=client)) for _ in range(2))
+    first.put(("q", 1), {"results": [1, 2]})
+    assert second.get(("q", 1)) == {"results": [1, 2]} and second.get(("q", 2)) is None and second.stats()["hits"] == 1 and len(second) == 1
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_either_way_finds_the_nearest_terms(spark, few):
+    """Against all pairs: comparing with every term, and meeting by what is left after deletions."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 7)))
+    terms, words = sorted({word() for _ in range(120)}), sorted({word() for _ in range(60)} | {"", "aé", "x" * 60})
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    best = {w: min((distance(w, t), t) for t in terms) for w in words}
+    frame = lambda values, name: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    found = understanding.nearest_terms(frame(words, "word"), frame(terms, "term"), few=few).collect()
+    assert {r["word"]: (r["distance"], r["correction"]) for r in found} == {w: b for w, b in best.items() if b[0] <= 2}
+
+
+def test_a_table_of_queries_is_understood_at_once(spark):
+    rows = [(1, "Buy serch engne"), (2, "fix the error"), (3, None), (4, "  "), (5, "go to serch")]
+    vocabulary = spark.createDataFrame([(t,) for t in ("search", "engine", "buy", "fix", "the", "error")], "term string")
+    found = {r["query_id"]: r for r in understanding.process(spark.createDataFrame(rows, "query_id int, text string"), vocabulary).collect()}
+    assert found[1]["rewritten"] == "buy search engine" and found[1]["intent"] == "transactional" and found[5]["intent"] == "navigational"
+    assert {"bug", "issue", "repair"} <= set(found[2]["expanded"]) and found[3]["rewritten"] == "" == found[4]["rewritten"] and len(found) == 5
+    assert all(understanding.intent_of(q or "") == found[k]["intent"] for k, q in rows)
+
+
+def test_fields_are_looked_for_in_their_columns(spark):
+    meta = spark.createDataFrame([(1, "Spark tools", "http://a.example/x"), (2, "Other", "http://spark.example/y"), (3, None, None)], "doc_id bigint, title string, url string")
+    stream = index.token_stream(spark.createDataFrame([(k, "spark text") for k in (1, 2, 3)], "doc_id bigint, text string"))
+    found = lambda q: {r["doc_id"] for r in parser.evaluate(parser.parse(q), stream, meta).collect()}
+    assert found("title:Spark") == {1} and found("url:spark") == {2} and found("spark") == {1, 2, 3} and found("title:spark OR url:spark") == {1, 2} and found("author:spark") == {1, 2, 3}
