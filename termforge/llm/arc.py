@@ -25,7 +25,8 @@ Defined results: a null or empty file has no records; a file without ``filedesc`
 is read as version 1; a header line that can't be parsed, or a body shorter than declared,
 gives an ``error`` instead of a type, and reading goes on at the next line that parses,
 so nothing is skipped silently; an invalid date is null; repeated records differ in offset and keep their own
-identifiers, repeated files have the same. Other columns are ignored.
+identifiers, repeated files have the same. No two records tie, as each has its own place. A body may be as long as its file, which is a row: of 2 GB at most, as
+Spark reads files. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations

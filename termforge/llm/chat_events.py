@@ -18,8 +18,8 @@ regeneration and joined. One shuffle by conversation serves all steps.
 Defined results: an event that repeats (conv_id, seq) is one event, the one with the least
 (msg, kind, role, text); events without conv_id, seq, msg or kind, and of other kinds, are ignored; a null
 text is empty; a message without ``open`` has the role ``UNKNOWN_ROLE``; of several the last
-one names the role; a message that says nothing in the end is kept, empty. An empty log gives
-no conversations. Other columns are ignored.
+one names the role; a message that says nothing in the end is kept, empty; a message may have any number of
+events, of any length. An empty log gives no conversations. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ def as_events(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
     whole = F.when(again, F.array(kind("open", F.reverse(text)), kind("edit", text))).otherwise(F.array(kind("open", text)))
     streamed = F.when(again, F.concat(opened, F.array(kind("delta", cut), kind("regenerate", F.lit(""))), deltas)).otherwise(F.concat(opened, deltas))
     steps = turns.select("conv_id", "msg", "role", F.posexplode(F.when(F.col("role") == "assistant", streamed).otherwise(whole)).alias("k", "e"))
-    log = steps.select("conv_id", (F.col("msg") * 1_000_000 + F.col("k")).alias("seq"), "msg", "e.kind", "role", "e.text")
+    log = steps.select("conv_id", (F.col("msg") * (1 << 32) + F.col("k")).alias("seq"), "msg", "e.kind", "role", "e.text")
     return log.withColumn("times", F.explode(F.when(F.expr("pmod(seq, 7) = 0"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("times")
 
 

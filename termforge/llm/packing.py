@@ -19,7 +19,8 @@ rest, which is packed like any other item.
 
 Defined results: null and empty texts have no tokens and no rows in the result; equal and
 repeated documents are packed one by one; rows without doc_id are packed too; ties go
-to the bin opened first. An empty table gives an empty result. Other columns are ignored.
+to the bin opened first, and among items of a length to the one with the least hash; very long texts are cut as said, into as many
+full sequences as they fill. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from termforge.llm.common import cut, identified, table
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: A sequence costs its tokens, attention that grows with their square, and a fixed share.
 PER_SEQUENCE, ATTENTION = 16, 32768
+#: Items that one task ranks, about, if all had the same length.
+RANKED = 1 << 20
 WORTHS = (0.0, 1.02, 1.05, 1.1, 1.2, 1.35, 1.6)
 
 
@@ -125,6 +128,19 @@ def entries_of(plan: Plan, capacities: tuple[int, ...]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _ENTRY.split(", ")])
 
 
+def _ranked(sized: DataFrame, rows: int) -> DataFrame:
+    """With the rank among items of a length, in the order of a hash. Items of the commonest length are ranked by several tasks, one for
+    each range of hashes, and what is in the ranges before is added; the order is the same for any number of ranges."""
+    bits = max(0, (rows // RANKED).bit_length())
+    sized = sized.withColumn("range", F.shiftright("mark", 64 - bits) if bits else F.lit(0).cast("bigint"))
+    ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("length", "range").orderBy("mark", "doc_id", "n")) - 1)
+    if not bits:
+        return ranked
+    sizes = sized.groupBy("length", "range").count()
+    before = sizes.select("length", "range", (F.sum("count").over(Window.partitionBy("length").orderBy("range")) - F.col("count")).alias("before"))
+    return ranked.join(before, ["length", "range"]).withColumn("rank", F.col("rank") + F.col("before"))
+
+
 def pack(docs: DataFrame, lengths: Column | None = None, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
     """One row for each piece: (doc_id, piece, start, length, bin_id, bin_offset, bin_used, capacity).
 
@@ -133,12 +149,14 @@ def pack(docs: DataFrame, lengths: Column | None = None, capacities: tuple[int,
     """
     most = max(capacities)
     tokens = (token_length(F.col("text")) if lengths is None else lengths).cast("bigint")
-    sized = cut(identified(docs).select("doc_id", tokens.alias("n")).where("n > 0"))
-    sized = sized.select("doc_id", "n", (F.col("n") % most).cast("int").alias("length"))
+    mark = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))  # written, so it stays as it is
+    sized = cut(identified(docs).select("doc_id", tokens.alias("n"), mark.alias("mark")).where("n > 0"))
+    sized = sized.select("doc_id", "n", "mark", (F.col("n") % most).cast("int").alias("length"))
     counts = sized.where("length > 0").groupBy("length").count()  # at most max(capacities) - 1 rows
-    plan = best_plan({r["length"]: r["count"] for r in counts.collect()}, capacities)
+    histogram = {r["length"]: r["count"] for r in counts.collect()}
+    rows, plan = sum(histogram.values()), best_plan(histogram, capacities)
     entries = sized.sparkSession.createDataFrame(entries_of(plan, capacities), _ENTRY)
-    ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("length").orderBy("doc_id", "n")) - 1)
+    ranked = _ranked(sized, rows)
     full = F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.expr(f"n div {most} - 1")),
         lambda k: F.struct(

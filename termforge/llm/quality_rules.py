@@ -8,7 +8,8 @@ bounded by the middle of their parent's split.
 
 Defined results: a null or wordless text scores 0 and is rejected; equal texts score
 alike; with labels of one class only (or none) nothing can be learnt and every text with
-words scores 1. Rows, repeated or without doc_id, are scored one by one. Other columns are ignored.
+words scores 1. Of splits that gain the same the first statistic and bin is taken; a score equal to ``CUT`` is kept. Statistics are those of
+whole texts however long. Rows, repeated or without doc_id, are scored one by one; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations

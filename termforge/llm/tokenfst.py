@@ -21,7 +21,8 @@ other signs, each with one leading space, and white space), found by local rules
 character classes.
 
 Defined results: null and empty texts have 0 tokens; special tokens' strings are ordinary
-text; rows, repeated or without doc_id, are counted one by one. Other columns are ignored.
+text; rows, repeated or without doc_id, are counted one by one; a text of any length is cut into chunks and counted whole; nothing is
+ranked, so there are no ties; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -68,6 +68,15 @@ def test_whole_table(spark, sf_dir):
     assert cost == pytest.approx(best + sum(n // most for n in lengths.values()) * packing.price(most))
 
 
+def test_ranks_in_ranges_are_ranks_in_one(spark, monkeypatch):
+    """The commonest length by one task and by many: the same place for every document, null and repeated ones once each."""
+    docs = spark.createDataFrame([(k if k % 5 else None, "w " * (3 if k % 3 else 7)) for k in range(400)] + [(1, "w w w")] * 3, "doc_id bigint, text string").coalesce(1)
+    whole = sorted((r["doc_id"] or 0, r["bin_id"], r["bin_offset"]) for r in packing.pack(docs).collect())
+    monkeypatch.setattr(packing, "RANKED", 8)
+    assert sorted((r["doc_id"] or 0, r["bin_id"], r["bin_offset"]) for r in packing.pack(docs).collect()) == whole and len(set(whole)) >= 320
+    assert checked(packing.pack(docs.where("doc_id IS NOT NULL").distinct()).collect(), {k: 3 if k % 3 else 7 for k in range(400) if k % 5} | {1: 6}) > 0
+
+
 def test_hard_rows(hard, nothing):
     rows = packing.pack(hard).collect()
     by = Counter(r["doc_id"] for r in rows)

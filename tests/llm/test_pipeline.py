@@ -24,7 +24,7 @@ def expected_ids(tables):
     prints = [(d, *f) for d, f in zip(left, simhash.fingerprint_texts(list(left.values()))) if f]
     roots = groups_of(within(prints, simhash.TAU))
     left = {d: t for d, t in left.items() if roots.get(d, d) == d}
-    strings = [s for s, _ in decontam.test_strings(benchmark)]
+    strings = {r["string"] for r in decontam.item_strings(benchmark).where("NOT whole").collect()}
     plain = {r["doc_id"]: r["p"] for r in docs.select("doc_id", decontam.plain(docs["text"]).alias("p")).collect()}
     return {d for d in left if not any(s in plain[d] for s in strings)}
 
