@@ -36,3 +36,15 @@ def with_cached_embeddings(docs: DataFrame, cache: DataFrame, encode, text_col:
     fresh = keyed.join(cache.select("key"), "key", "left_anti").groupBy("key").agg(F.min("text").alias("text"))
     encoded = encode(fresh.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "embedding")
     return cache.join(keyed.select("key").distinct(), "key", "left_semi").select("key", "embedding").unionByName(encoded)
+
+
+def write_crawl(docs: DataFrame, links: DataFrame, path: str) -> None:
+    """A crawl result file, as ``read_crawl`` takes it, from (doc_id, url) and (src, dst): one JSON document, for crawls that fit in one."""
+    known = docs.agg(F.count("*").alias("total_documents"), F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "url"))), lambda d: d["url"]).alias("urls"), F.map_from_entries(F.collect_list(F.struct("url", "doc_id"))).alias("url_to_doc_id"))
+    graph = links.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("to")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("src").cast("string"), "to"))).alias("link_graph"))
+    known.crossJoin(graph).select("total_documents", "urls", "link_graph", "url_to_doc_id").coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_pages(docs: DataFrame, path: str) -> None:
+    """The documents' texts in parts by doc_id, instead of a file for each: (doc_id, content) as Parquet."""
+    docs.select("doc_id", "content").write.mode("overwrite").parquet(path)
