@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,5 +37,8 @@ def having_phrase(stream: DataFrame, terms: list[str]) -> DataFrame:
     """Documents with the terms in a row: each occurrence votes for where the phrase would start."""
     if not terms:
         return stream.select("doc_id").limit(0)
-    votes = reduce(DataFrame.unionByName, [stream.where(F.col("term") == t).select("doc_id", (F.col("pos") - k).alias("start"), F.lit(k).alias("k")) for k, t in enumerate(terms)])
+    places = {t: [k for k, other in enumerate(terms) if other == t] for t in terms}
+    known = F.create_map(*[x for t, ks in places.items() for x in (F.lit(t), F.array(*map(F.lit, ks)))])
+    hits = stream.where(F.col("term").isin(*places)).select("doc_id", "pos", F.explode(known[F.col("term")]).alias("k"))  # one pass for all words
+    votes = hits.select("doc_id", (F.col("pos") - F.col("k")).alias("start"), "k")
     return votes.groupBy("doc_id", "start").agg(F.count_distinct("k").alias("n")).where(F.col("n") == len(terms)).select("doc_id").distinct()

@@ -558,6 +558,11 @@ for _name, _word in (("and", "INTERSECT"), ("or", "UNION"), ("not", "EXCEPT")):
 QUERIES["phrase_match"] = _strict('"thea thea"')
 ORACLES["phrase_match"] = f"WITH {BASE} SELECT DISTINCT a.doc_id FROM stream a JOIN stream b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 AND a.term = 'thea' AND b.term = 'thea'"
 
+#: A phrase that many documents have.
+QUERIES["phrase_of_three"] = _strict('"attion thanedble anea"')
+ORACLES["phrase_of_three"] = f"""WITH {BASE} SELECT DISTINCT a.doc_id FROM stream a JOIN stream b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN stream c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2
+WHERE a.term = 'attion' AND b.term = 'thanedble' AND c.term = 'anea'"""
+
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)(the)', '**\\1**', 'g'), '(?i)(an)', '**\\1**', 'g') AS marked FROM documents")
 def highlight(spark, sf_dir):

@@ -19,8 +19,21 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_made: set[str] = set()
+
+
 def new_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all folders that this process made, once no result that reads them is needed; how many."""
+    found = len(_made)
+    for path in sorted(_made):
+        remove(spark, path)
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -34,3 +47,4 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that is no longer read."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _made.discard(path)

@@ -254,3 +254,12 @@ def test_segments_of_a_size(spark, tmp_path):
     assert df_of(store)[T.stem_word("later")] == 1 and "word3" not in df_of(store) and "nobody" not in df_of(store)
     assert store.add(spark.createDataFrame([], DOCUMENT)) is None and store.segment_ids() == [0, 1, 2]
     assert {(r["term"], r["df"]) for r in store.terms().where("term = 'common'").groupBy("term").agg(F.sum("df").alias("df")).collect()} == {("common", 5)}
+
+
+def test_what_is_written_between_is_cleared(spark):
+    from termforge.sources import shared
+
+    one, two = (shared.cut(spark.range(n)) for n in (3, 4))
+    assert one.count() == 3 and two.count() == 4 and shared.clear(spark) >= 2 and not shared._made
+    with pytest.raises(Exception, match="."):
+        one.count()
