@@ -2,6 +2,11 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and works on all
 the rows its predecessor kept. All but the last return the columns of ``documents``.
+
+Defined results, besides those that each operator states: a null, empty or wordless text is rejected by the first stage; rows
+without doc_id pass all stages by their text, and near-dedup leaves them; of rows that share a doc_id one is left after
+near-dedup; equal texts are judged alike until then; texts of any length are read whole; extra columns, whatever their names,
+are passed on by all stages but the last; an empty table gives an empty result.
 """
 
 from __future__ import annotations
