@@ -76,6 +76,13 @@ def robots_table(files: DataFrame, robot: str = ROBOT) -> DataFrame:
     return files.select("host", parse("content").alias("r")).select("host", "r.*")
 
 
+def fresh_robots(files: DataFrame, now, ttl: str = "INTERVAL 1 HOUR") -> tuple[DataFrame, DataFrame]:
+    """Of robots files (host, content, fetched_at): each host's last one if it isn't older than ``ttl`` at the time ``now``; and (host) to be fetched again."""
+    last = files.groupBy("host").agg(F.max_by("content", "fetched_at").alias("content"), F.max("fetched_at").alias("fetched_at"))
+    fresh = F.col("fetched_at") >= F.lit(now) - F.expr(ttl)
+    return last.where(fresh), last.where(~F.coalesce(fresh, F.lit(False))).select("host")
+
+
 def robots_filter(urls: DataFrame, robots: DataFrame) -> DataFrame:
     """``urls`` with ``allowed``; hosts without rules allow all."""
     path = F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)

@@ -18,16 +18,28 @@ def read_files(spark: SparkSession, path: str, schema: StructType | str, files_p
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(form).load(path)
 
 
-def read_kafka(spark: SparkSession, servers: str, topic: str, schema: StructType | str) -> DataFrame:
-    """JSON messages of a topic; needs the Kafka connector on the class path."""
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load()
+def read_kafka(spark: SparkSession, servers: str, topic: str, schema: StructType | str, max_messages: int | None = None) -> DataFrame:
+    """JSON messages of a topic, ``max_messages`` of them in a batch at most; needs the Kafka connector on the class path."""
+    source = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest")
+    raw = (source.option("maxOffsetsPerTrigger", max_messages) if max_messages else source).load()
+    return from_json(raw, schema)
+
+
+def from_json(raw: DataFrame, schema: StructType | str) -> DataFrame:
+    """The columns of JSON in ``value``; what isn't JSON gives nulls.
+
+    ``write_kafka`` writes what this reads.
+    """
     return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("m")).select("m.*")
 
 
 def write_kafka(messages: DataFrame, servers: str, topic: str) -> None:
     """Rows as JSON messages, acknowledged by all replicas."""
-    values = messages.select(F.to_json(F.struct(*messages.columns)).alias("value"))
-    values.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("kafka.acks", "all").save()
+    as_json(messages).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("kafka.acks", "all").save()
+
+
+def as_json(messages: DataFrame) -> DataFrame:
+    return messages.select(F.to_json(F.struct(*messages.columns)).alias("value"))
 
 
 def ingest(stream: DataFrame, store: IndexStore, checkpoint: str, on_batch: Callable[[DataFrame], None] | None = None):
@@ -53,18 +65,22 @@ def unseen_urls(stream: DataFrame) -> DataFrame:
 
 
 def polite(stream: DataFrame, delay_ms: int) -> DataFrame:
-    """(host, url, fetch_at): urls (url, at_ms) of a host get times that are ``delay_ms`` apart, across batches."""
+    """(host, url, fetch_at): urls (url, at_ms) of a host get times that are ``delay_ms`` apart, across batches.
+
+    A column ``delay_ms`` of the stream, where it isn't null, counts instead: the host's own delay, say of its robots file.
+    """
 
     def plan(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         free = state.get[0] if state.exists else 0
         for pdf in batches:
             rows = []
-            for at, url in sorted(zip(pdf["at_ms"], pdf["url"])):
+            for at, url, own in sorted(zip(pdf["at_ms"], pdf["url"], pdf["delay_ms"])):
                 at = max(int(at), free)
                 rows.append((key[0], url, at))
-                free = at + delay_ms
+                free = at + int(own)
             yield pd.DataFrame(rows, columns=["host", "url", "fetch_at"])
         state.update((free,))
 
-    named = stream.select(U.host(F.col("url")).alias("host"), "url", "at_ms")
+    delay = F.coalesce(F.col("delay_ms"), F.lit(delay_ms)) if "delay_ms" in stream.columns else F.lit(delay_ms)
+    named = stream.select(U.host(F.col("url")).alias("host"), "url", "at_ms", delay.cast("bigint").alias("delay_ms"))
     return named.groupBy("host").applyInPandasWithState(plan, "host string, url string, fetch_at bigint", "free bigint", "append", "NoTimeout")

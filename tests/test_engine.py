@@ -263,3 +263,21 @@ def test_what_is_written_between_is_cleared(spark):
     assert one.count() == 3 and two.count() == 4 and shared.clear(spark) >= 2 and not shared._made
     with pytest.raises(Exception, match="."):
         one.count()
+
+
+def test_robots_files_grow_old(spark):
+    rows = [("a", "old", datetime(2024, 1, 1, 10)), ("a", "new", datetime(2024, 1, 1, 12)), ("b", "stale", datetime(2024, 1, 1, 9)), ("c", "never", None)]
+    fresh, again = crawl.fresh_robots(spark.createDataFrame(rows, "host string, content string, fetched_at timestamp"), datetime(2024, 1, 1, 12, 30))
+    assert [(r["host"], r["content"]) for r in fresh.collect()] == [("a", "new")] and {r["host"] for r in again.collect()} == {"b", "c"}
+
+
+def test_hosts_have_delays_of_their_own(spark, tmp_path):
+    spark.createDataFrame([("http://a.example/1", 0, 10), ("http://a.example/2", 1, 10), ("http://b.example/1", 0, None), ("http://b.example/2", 1, None)], "url string, at_ms bigint, delay_ms bigint").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = ingest.read_files(spark, str(tmp_path / "in"), "url string, at_ms bigint, delay_ms bigint")
+    ingest.polite(stream, 1000).writeStream.format("memory").queryName("own").outputMode("append").option("checkpointLocation", str(tmp_path / "own")).trigger(availableNow=True).start().awaitTermination()
+    assert {(r["url"], r["fetch_at"]) for r in spark.table("own").collect()} == {("http://a.example/1", 0), ("http://a.example/2", 10), ("http://b.example/1", 0), ("http://b.example/2", 1000)}
+
+
+def test_messages_are_read_as_they_were_written(spark):
+    sent = spark.createDataFrame([(1, "a \"b\"", None), (2, None, 2.5)], "k bigint, t string, x double")
+    assert sorted(map(tuple, ingest.from_json(ingest.as_json(sent), "k bigint, t string, x double").collect())) == sorted(map(tuple, sent.collect()))
