@@ -10,9 +10,16 @@ from termforge.functions.codec import vbyte_size
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """As they are, unless they come in fewer parts than there are cores: a small file of one row group would be one task's work."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if not docs.isStreaming and docs._jdf.rdd().getNumPartitions() < cores else docs
+    """As they are, unless they are read in fewer parts than there are cores: a small file of one row group would be one task's work.
+
+    What comes out of a shuffle is left alone: to count its parts would be to run it.
+    """
+    if docs.isStreaming:
+        return docs
+    plan, cores = docs._jdf.queryExecution().executedPlan(), docs.sparkSession.sparkContext.defaultParallelism
+    if plan.nodeName().startswith("AdaptiveSparkPlan"):
+        return docs
+    return docs.repartition(cores) if plan.execute().getNumPartitions() < cores else docs
 
 
 def token_stream(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -23,7 +30,9 @@ def token_stream(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def _stream(docs: DataFrame, text_col: str) -> DataFrame:
     """With doc_len besides."""
     kept = spread(docs.select("doc_id", text_col)).select("doc_id", T.tokens(T.normalize(F.col(text_col))).alias("kept"))
-    raw = kept.select("doc_id", F.size("kept").cast("bigint").alias("doc_len"), F.posexplode("kept").alias("pos", "raw"))
+    sized = kept.select("doc_id", F.size("kept").cast("bigint").alias("doc_len"), "kept")  # before it is exploded, lest each token carries the array
+    # outer: else Spark would ask first whether there are tokens, and make them twice
+    raw = sized.select("doc_id", "doc_len", F.posexplode_outer("kept").alias("pos", "raw")).where("raw IS NOT NULL")
     return raw.select("doc_id", "doc_len", "pos", T.stem(F.col("raw")).alias("term"))  # tokens and their stems have MIN_TERM letters at least
 
 

@@ -484,7 +484,7 @@ def _words_sql(words: tuple[str, ...]) -> str:
 )
 def spell_correct(spark, sf_dir):
     words = spark.createDataFrame([(w,) for w in MISSPELT], "word string")
-    return understanding.corrections(words, index.vocabulary(index.token_stream(table(spark, sf_dir, "documents"))))
+    return understanding.corrections(words, cut(index.vocabulary(index.token_stream(table(spark, sf_dir, "documents")))))
 
 
 @query(f"WITH {_words_sql(MISSPELT)} SELECT a.word AS a, b.word AS b, levenshtein(a.word, b.word)::INT AS distance FROM words a, words b")
