@@ -19,7 +19,9 @@ keeps them); rows that repeat a doc_id are one document; in a tie the smallest
 doc_id stays; a fingerprint is over the whole text however long. An empty table gives an empty result. Other columns are ignored.
 
 While groups are small one exact segment is the shuffle's key; for more rows the second segment joins it
-(``GROUP_ROWS``). Either plan finds the same pairs. Pairs are compared and vetted a block at a time.
+(``GROUP_ROWS``). Either plan finds the same pairs. Pairs are compared and vetted a block at a time. For the groups of documents
+only what is connected counts: there a chain group gives its links to the least node of each of its components and not all pairs, so
+what it holds and returns grows with its rows, however many of them are alike.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ GROUP_ROWS = 200_000
 BUCKET_ROWS = 50_000
 #: Pairs whose distance, and those whose segments' differences, are held at once; no limit to what is compared.
 MOST_COMPARED, VETTED = 1 << 20, 1 << 13
+#: Pairs of a chain group that wait until they are joined to components.
+WAITING = 1 << 14
 _BIT_TABLE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float32)
 _LANES = (np.arange(8) * 256)[None, :]
 
@@ -127,12 +131,33 @@ def _masks(width: int, most: int) -> list[tuple[int, int]]:
 
 
 class _Chains:
-    """All pairs within tau between two sets whose chains start at segment ``start``."""
+    """All pairs within tau between two sets whose chains start at segment ``start``; if ``linked``, what connects the same rows (by ascending node)."""
 
-    def __init__(self, hi: np.ndarray, lo: np.ndarray, node: np.ndarray, start: int, tau: int):
+    def __init__(self, hi: np.ndarray, lo: np.ndarray, node: np.ndarray, start: int, tau: int, linked: bool = False):
         self.ring = segments(tau)
         self.hi, self.lo, self.node, self.start, self.tau, self.m = hi, lo, node, start, tau, len(self.ring)
         self.found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.root, self.waiting = np.arange(len(node)) if linked else None, 0
+
+    def join(self) -> None:
+        """Found pairs become components; ``root`` is the first row of each row's."""
+        a, b = (np.concatenate(side) for side in zip(*self.found)) if self.found else (np.zeros(0, np.int64),) * 2
+        self.found, self.waiting = [], 0
+        while len(a):
+            x, y = self.root[a], self.root[b]
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
+            while ((up := self.root[self.root]) != self.root).any():
+                self.root = up
+
+    def results(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(lesser nodes, greater nodes) of the pairs or links."""
+        if self.root is not None:
+            self.join()
+            rows = np.flatnonzero(self.root != np.arange(len(self.root)))
+            self.found = [(self.root[rows], rows)]
+        return [(self.node[a], self.node[b]) for a, b in self.found]
 
     def pairs(self, a: np.ndarray, b: np.ndarray, at: int, used: int) -> None:
         """``a`` and ``b`` (row numbers) agree on the first ``at`` segments but for ``used`` bits."""
@@ -172,6 +197,9 @@ class _Chains:
         a, b = a[lesser], b[lesser]
         for at in range(0, len(a), VETTED):
             i, j = a[at : at + VETTED], b[at : at + VETTED]
+            if self.root is not None:
+                apart = self.root[i] != self.root[j]
+                i, j = i[apart], j[apart]
             x, y = self.hi[i] ^ self.hi[j], self.lo[i] ^ self.lo[j]
             sums = np.zeros((self.m + 1, len(i)), np.int16)
             for k, s in enumerate(self.ring):
@@ -181,14 +209,17 @@ class _Chains:
             full = np.maximum(after, before) <= sums[:-1]
             keep = full.any(axis=0) & (full.argmax(axis=0) == self.start)
             if keep.any():
-                self.found.append((self.node[i[keep]], self.node[j[keep]]))
+                self.found.append((i[keep], j[keep]))
+                self.waiting += int(keep.sum())
+            if self.root is not None and self.waiting >= WAITING:
+                self.join()
 
 
-def _bucket_pairs(tau: int):
-    """All pairs of the chain groups (start, key) that one bucket holds."""
+def _bucket_pairs(tau: int, linked: bool):
+    """All pairs, or the links, of the chain groups (start, key) that one bucket holds."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "key"], kind="stable")
+        pdf = pdf.sort_values(["start", "key", "node"], kind="stable")
         group = pdf["start"].to_numpy().astype(np.int64) << 32 | pdf["key"].to_numpy()
         hi, lo = pdf["hi"].to_numpy().view(np.uint64), pdf["lo"].to_numpy().view(np.uint64)
         node, flips, starts = pdf["node"].to_numpy(), pdf["flip"].to_numpy(), pdf["start"].to_numpy()
@@ -200,18 +231,18 @@ def _bucket_pairs(tau: int):
                 continue
             part = slice(begin, end)
             own, flipped = np.flatnonzero(flips[part] == 0), np.flatnonzero(flips[part] != 0)
-            chains = _Chains(hi[part], lo[part], node[part], int(starts[begin]), tau)
+            chains = _Chains(hi[part], lo[part], node[part], int(starts[begin]), tau, linked)
             chains.pairs(own, own, depth, 0)
             chains.pairs(flipped, own, depth, 1)
-            found += chains.found
+            found += chains.results()
         none = [np.zeros(0, np.int64)]
         return pd.DataFrame({"a": np.concatenate([a for a, _ in found] or none), "b": np.concatenate([b for _, b in found] or none)})
 
     return run
 
 
-def close_pairs(nodes: DataFrame, tau: int = TAU) -> DataFrame:
-    """(a, b), a < b: all pairs of ``nodes`` (node, hi, lo; distinct fingerprints) within ``tau`` bits.
+def close_pairs(nodes: DataFrame, tau: int = TAU, linked: bool = False) -> DataFrame:
+    """(a, b), a < b: all pairs of ``nodes`` (node, hi, lo; distinct fingerprints) within ``tau`` bits; if ``linked``, fewer pairs that connect the same nodes.
 
     While a segment's values make groups of at most ``GROUP_ROWS`` rows on average, one exact
     segment is the shuffle's key; beyond, the second segment joins the key, and a
@@ -234,7 +265,7 @@ def close_pairs(nodes: DataFrame, tau: int = TAU) -> DataFrame:
     buckets = max(1, rows * len(sends) // BUCKET_ROWS)
     bucket = F.pmod(F.xxhash64("s.start", "s.key"), F.lit(buckets)).alias("bucket")
     sent = sent.select(bucket, "s.start", "s.key", "s.flip", "node", "hi", "lo", F.lit(deep).alias("deep"))
-    return sent.groupBy("bucket").applyInPandas(_bucket_pairs(tau), "a bigint, b bigint")
+    return sent.groupBy("bucket").applyInPandas(_bucket_pairs(tau, linked), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -255,7 +286,7 @@ def components(edges: DataFrame) -> DataFrame:
         root = F.min("v").over(Window.partitionBy("u"))
         small = down.withColumn("low", root).select(F.col("low").alias("a"), F.explode(F.array("u", "v")).alias("b"))
         edges = cut(small.where("a != b").distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum("a"), F.sum(F.hash("a", "b").cast("bigint"))).first())
+        now = tuple(edges.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.hash("a", "b").cast("bigint"))).first())
         if now == before:
             return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
         before = now
@@ -269,7 +300,7 @@ def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """
     prints = cut(fingerprints(docs).distinct())
     nodes = cut(prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("node")))
-    roots = components(close_pairs(nodes, tau))
+    roots = components(close_pairs(nodes, tau, linked=True))
     named = nodes.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("group_id"))
     members = prints.join(named, ["hi", "lo"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
     sized = members.withColumn("copies", F.count("*").over(Window.partitionBy("group_id")))

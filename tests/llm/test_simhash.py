@@ -61,6 +61,34 @@ def test_pairs_are_all_pairs_and_found_once(spark, monkeypatch, tau, deep):
     assert len(found) == len(set(found)) and set(found) == within(prints, tau)
 
 
+@pytest.mark.parametrize("deep", [False, True])
+def test_links_connect_what_all_pairs_connect(spark, monkeypatch, deep):
+    """One family of 600 that are nearly all alike, and families of 8: as few links as rows in a chain group, and the same components."""
+    rng, tau = random.Random(9), simhash.TAU
+    prints = clustered(rng, 300, tau // 2 + 3)
+    for k in range(300, 900):
+        x = 7 << 60 | 99
+        for bit in rng.sample(range(128), 4):
+            x ^= 1 << bit
+        prints.append((k, signed(x & (1 << 64) - 1), signed(x >> 64)))
+    if deep:
+        monkeypatch.setattr(simhash, "GROUP_ROWS", 1)
+    monkeypatch.setattr(simhash, "WAITING", 500)
+    nodes = spark.createDataFrame(prints, "node bigint, hi bigint, lo bigint")
+    links, pairs = [tuple(r) for r in simhash.close_pairs(nodes, tau, linked=True).collect()], within(prints, tau)
+    assert groups_of(links) == groups_of(pairs) and all(a < b for a, b in links)
+    assert len(pairs) > 600 * 599 // 2 - 1 and len(links) <= 25 * len(prints)
+
+
+def test_large_ids_do_not_overflow(spark):
+    """Sums of ids beyond the range of bigint, as hashed ids make them."""
+    text, far = " ".join(VOCABULARY[:200]), (1 << 62) + 5
+    rows = [(far + k, text + f" {'more ' * (k % 4)}{k}") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {tuple(r) for r in simhash.near_duplicates(docs).collect()} == {(far + k, far, 12, k == 0) for k in range(12)}
+    assert [r["doc_id"] for r in simhash.deduplicate(docs).collect()] == [far]
+
+
 def test_every_close_pair_has_a_full_chain():
     """The pigeonring principle itself, on random differences."""
     rng, tau = random.Random(1), 24
