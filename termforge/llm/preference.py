@@ -5,7 +5,10 @@ bins of its surface statistics. The chance that one document is preferred to
 another is the logistic function of their difference in score. Weights are learnt from pairs
 of a preferred document (good quality, not toxic) and another one, by the logistic loss on
 the feature differences, with an L1 penalty that leaves most words without
-a weight. The threshold is a quantile of the labelled documents' scores: the one that
+a weight. All labelled documents are learnt from. They are spread by their doc_id's hash over shards of about
+``SHARD_ROWS``; a task fits one shard on all its pairs, and the weights are the mean over the shards that have both
+sides (up to ``SHARD_ROWS`` there is one shard, and pairs of documents in different shards aren't compared). The threshold
+is a quantile of all labelled documents' scores, counted in steps of 1 / ``STEPS_OF_SCORE``: the one that
 parts the two sides best, in the middle of those that are nearly as good.
 
 Defined results: a null or wordless text is rejected, with the null score; equal
@@ -17,6 +20,7 @@ Rows, repeated or without doc_id, are scored one by one; an empty table gives an
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,13 +29,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.llm.common import identified, table
-from termforge.llm.labelled import TRAIN_ROWS, labelled_documents
+from termforge.llm import labelled
+from termforge.llm.common import cut, identified, table
 from termforge.llm.stats import NAMES, text_stats
 
 WORD_BITS, STAT_BINS = 18, 16
-#: Pairs in each step, steps, step size, documents that must have a feature.
-PAIRS, STEPS, RATE, LEAST_DOCS = 20_000, 300, 0.05, 8
+#: Labelled documents that are fitted together, about; steps, step size, documents that must have a feature.
+SHARD_ROWS, STEPS, RATE, LEAST_DOCS = 20_000, 300, 0.05, 8
+#: Points of the grid a unit of score has: for the sums over all pairs, for the threshold, and for the mean of weights.
+GRID, STEPS_OF_SCORE, WEIGHT_STEPS = 64, 4096, 1 << 30
 #: The L1 penalty, in standard errors of a feature's gradient if it meant nothing.
 PENALTY = 3.5
 #: Thresholds whose share of rightly placed documents is that close to the best count as equal.
@@ -66,61 +72,116 @@ class Ranker:
         return np.array([self.weights[f].sum() if ok else np.nan for f, ok in zip(found, wordy)], dtype=np.float64)
 
 
-def fit_ranker(found: list[np.ndarray], good: np.ndarray, seed: int = 1) -> Ranker:
-    """Bradley-Terry weights for documents with features ``found``, preferred where ``good``."""
-    if good.all() or not good.any():
-        return Ranker(np.zeros(FEATURES), -np.inf, 0.0)
+def all_pairs(s: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """For each document the chances, summed over all of the other side, that its pair is placed wrongly by the scores ``s``.
+
+    Scores are spread over the two nearest points of a grid, so the sums are convolutions; the logistic function is linear between points.
+    """
+    low = s.min()
+    place = (s - low) * GRID
+    cell = place.astype(np.int64)
+    part, size = place - cell, int(cell.max()) + 2
+    wrong = 1 / (1 + np.exp(np.clip(np.arange(1 - size, size) / GRID, -50, 50)))  # by how much the preferred one is ahead
+    out = np.empty(len(s))
+    for side, kernel in ((good, wrong), (~good, wrong[::-1])):
+        other = np.bincount(cell[~side], 1 - part[~side], size) + np.bincount(cell[~side] + 1, part[~side], size)
+        sums = np.convolve(other, kernel)[size - 1 : 2 * size - 1]
+        out[side] = sums[cell[side]] * (1 - part[side]) + sums[cell[side] + 1] * part[side]
+    return out
+
+
+def fit_weights(found: list[np.ndarray], good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(feature numbers, Bradley-Terry weights other than 0) for documents with features ``found``, preferred where ``good``; both sides must be there."""
     cols = np.concatenate(found)
     rows = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
     common = np.bincount(cols, minlength=FEATURES) >= min(LEAST_DOCS, max(1, len(found) // 10))
     names = np.flatnonzero(common)
     number = np.full(FEATURES, -1, dtype=np.int32)
     number[names] = np.arange(len(names))
-    rows, cols = rows[common[cols]], number[cols[common[cols]]]
+    held = common[cols]
+    rows, cols = rows[held], number[cols[held]]
     w, m, v = np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names))
-    rng, yes, no = np.random.default_rng(seed), np.flatnonzero(good), np.flatnonzero(~good)
+    yes, no = int(good.sum()), int((~good).sum())
     share = np.bincount(cols, minlength=len(names)) / len(found)
-    error = np.sqrt(share * (1 - share) * (1 / len(yes) + 1 / len(no)))
+    error = np.sqrt(share * (1 - share) * (1 / yes + 1 / no))
     for step in range(1, STEPS + 1):
-        s = np.bincount(rows, w[cols], len(found))
-        a, b = rng.choice(yes, PAIRS), rng.choice(no, PAIRS)
-        wrong = 1 / (1 + np.exp(np.clip(s[a] - s[b], -50, 50)))
-        push = np.bincount(b, wrong, len(found)) - np.bincount(a, wrong, len(found))
-        grad = np.bincount(cols, push[rows], len(names)) / PAIRS
+        wrong = all_pairs(np.bincount(rows, w[cols], len(found)), good) / yes / no
+        grad = np.bincount(cols, np.where(good, -wrong, wrong)[rows], len(names))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         rate = RATE * (1 - step / (STEPS + 1))
         scale = np.sqrt(v / (1 - 0.99**step)) + 1e-4
         w -= rate * m / (1 - 0.9**step) / scale
-        w = np.sign(w) * np.maximum(0, np.abs(w) - rate * PENALTY * wrong.mean() * error / scale)
-    weights = np.zeros(FEATURES)
-    weights[names] = w
-    s = np.bincount(rows, w[cols], len(found))
-    order = np.argsort(s, kind="stable")
-    below = np.cumsum(~good[order]) / len(no) - np.cumsum(good[order]) / len(yes)
-    below[:-1][s[order][1:] == s[order][:-1]] = -1  # a threshold can't part ties
-    best = below[:-1].max()
-    if best <= 0:  # no threshold parts the sides
-        return Ranker(weights, -np.inf, 0.0)
-    fine = s[order][:-1][below[:-1] >= best - NEARLY]
-    threshold = float(fine[[0, -1]].mean())
-    return Ranker(weights, threshold, float((s <= threshold).mean()))
+        w = np.sign(w) * np.maximum(0, np.abs(w) - rate * PENALTY * wrong[good].sum() * error / scale)
+    return names[w != 0], w[w != 0]
 
 
 def _features_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         found, wordy = features(pdf["text"].where(pdf["text"].notna(), None).tolist())
-        yield pd.DataFrame({"good": pdf["good"], "found": [f.astype(np.int32) for f in found]})[wordy]
+        yield pdf.drop(columns="text").assign(found=[f.astype(np.int32) for f in found])[wordy]
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Ranker:
-    """The ranker, fitted on pairs of at most ``most`` labelled documents."""
-    sample = labelled_documents(docs, labels, most)
-    sides = sample.select("text", (F.col("quality") > 0).alias("q"), "toxic").select("text", F.expr("q AND toxic = 0").alias("good"))
-    held = sides.mapInPandas(_features_of, "good boolean, found array<int>").toArrow()  # Arrow, as lists of objects would be large
-    found = [f.values.to_numpy() for f in held["found"]]
-    good = held["good"].to_numpy().astype(bool)
+def _fit_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+    found, good = pdf["found"].tolist(), pdf["good"].to_numpy().astype(bool)
+    del pdf
+    if good.all() or not good.any():
+        return pd.DataFrame({"name": np.zeros(0, np.int32), "steps": np.zeros(0, np.int64)})
     order = sorted(range(len(found)), key=lambda k: (found[k].tobytes(), good[k]))  # the same weights for any order of rows
-    return fit_ranker([found[k] for k in order], good[order])
+    names, w = fit_weights([found[k] for k in order], good[order])
+    # the row numbered FEATURES counts the shard
+    return pd.DataFrame({"name": np.append(names, FEATURES).astype(np.int32), "steps": np.append(np.rint(w * WEIGHT_STEPS), 1).astype(np.int64)})
+
+
+def _score_steps(weights: np.ndarray):
+    held = np.flatnonzero(weights)
+    values = weights[held]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = np.zeros(FEATURES)
+        whole[held] = values
+        for pdf in batches:
+            s = np.array([whole[f].sum() for f in pdf["found"]], dtype=np.float64)
+            yield pd.DataFrame({"step": np.ceil(s * STEPS_OF_SCORE).astype(np.int64), "good": pdf["good"]})
+
+    return run
+
+
+def best_threshold(step: np.ndarray, yes: np.ndarray, no: np.ndarray) -> tuple[float, float]:
+    """(threshold, quantile) for the numbers of preferred and other documents at each ascending ``step`` of score; -inf if none parts the sides."""
+    below = (np.cumsum(no) / no.sum() - np.cumsum(yes) / yes.sum())[:-1]
+    if not len(below) or below.max() <= 0:
+        return -np.inf, 0.0
+    fine = step[:-1][below >= below.max() - NEARLY]
+    middle = int(fine[0] + fine[-1]) // 2
+    return middle / STEPS_OF_SCORE, float((yes + no)[step <= middle].sum() / (yes + no).sum())
+
+
+def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, good, found) of all labelled documents that have words."""
+    known = labelled.marks(labels).select("__id", F.expr("quality > 0 AND toxic = 0").alias("good"))
+    texts = identified(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    if known.count() <= labelled.BROADCAST_ROWS:
+        both = texts.join(F.broadcast(known), texts["doc_id"] == known["__id"]).select("doc_id", "text", "good")
+        return both.mapInPandas(_features_of, "doc_id bigint, good boolean, found array<int>")
+    made = texts.mapInPandas(_features_of, "doc_id bigint, found array<int>")
+    return made.join(known, made["doc_id"] == known["__id"]).select("doc_id", "good", "found")
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Ranker:
+    """The ranker, fitted on all labelled documents."""
+    sides = cut(labelled_features(docs, labels))
+    n, yes = sides.agg(F.count("*"), F.coalesce(F.sum(F.col("good").cast("int")), F.lit(0))).first()
+    weights = np.zeros(FEATURES)
+    if yes in (0, n):
+        return Ranker(weights, -np.inf, 0.0)
+    shard = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(math.ceil(n / SHARD_ROWS)))
+    fits = sides.groupBy(shard.alias("shard")).applyInPandas(_fit_shard, "name int, steps bigint")
+    total = {r["name"]: r["steps"] for r in fits.groupBy("name").agg(F.sum("steps").alias("steps")).collect()}  # whole numbers, so their order doesn't matter
+    fitted = total.pop(FEATURES, 0)
+    if total:
+        weights[list(total)] = np.array(list(total.values())) / (fitted * WEIGHT_STEPS)
+    counts = sides.mapInPandas(_score_steps(weights), "step bigint, good boolean").groupBy("step").agg(F.count_if("good").alias("yes"), F.count_if(~F.col("good")).alias("no")).toPandas().sort_values("step")
+    return Ranker(weights, *best_threshold(*(counts[c].to_numpy() for c in ("step", "yes", "no"))))
 
 
 def scorer(ranker: Ranker):

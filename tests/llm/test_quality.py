@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from termforge.llm import preference, quality_rules
+from termforge.llm import labelled, preference, quality_rules
 from termforge.llm.common import word_hashes
 from termforge.llm.labelled import labelled_documents
 from termforge.llm.stats import NAMES, text_stats
@@ -117,3 +118,31 @@ def test_hard_rows(hard, nothing, labels, operator, keep):
     assert operator.score_documents(nothing, model).count() == 0 == getattr(operator, keep)(nothing, model).count()
     for untaught in (operator.learn(hard, labels.limit(0)), operator.learn(nothing, labels), operator.learn(hard, labels.where("quality = 1"))):
         assert all(r["keep"] == (r["doc_id"] in (5, 6, 7, 8, 9, 10, 11) or r["doc_id"] is None and bool(r["score"] is not None and r["keep"])) for r in operator.score_documents(hard, untaught).collect())
+
+
+def test_all_pairs_by_enumeration():
+    rng = np.random.default_rng(3)
+    s, good = rng.normal(0, 3, 300), rng.random(300) < 0.8
+    chance = 1 / (1 + np.exp(s[good][:, None] - s[~good]))
+    sums = preference.all_pairs(s, good)
+    assert sums[good] == pytest.approx(chance.sum(axis=1), rel=1e-3, abs=1e-3) and sums[~good] == pytest.approx(chance.sum(axis=0), rel=1e-3, abs=1e-3)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_the_ranker_learns_from_labels_beyond_20000(spark, monkeypatch, broadcast):
+    """The only documents with a bad word are those that the former sample of 20,000 labels left out."""
+    if not broadcast:
+        monkeypatch.setattr(labelled, "BROADCAST_ROWS", 0)
+    ids = spark.range(24_000).withColumnRenamed("id", "doc_id")
+    ranks = [r["doc_id"] for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    late = set(ranks[20_000:])
+    rng = np.random.default_rng(2)
+    words = [f"word{k}" for k in range(300)]
+    rows = [(d, " ".join(rng.choice(words, 12)) + (" vile" if d in late and d % 2 else " junk" if d % 10 == 1 else ""), int(not (d in late and d % 2 or d % 10 == 1))) for d in range(24_000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2], 0) for r in rows], "doc_id bigint, quality int, toxic int")
+    ranker = preference.learn(docs, labels)
+    scores = ranker.score([r[1] for r in rows])
+    keep, vile, good = scores > ranker.threshold, np.array(["vile" in r[1] for r in rows]), np.array([r[2] > 0 for r in rows])
+    assert vile.sum() > 1500 and (~keep[vile]).mean() > 0.99 and (~keep[~good]).mean() > 0.99 and keep[good].mean() > 0.99
+    assert ranker.quantile == pytest.approx((scores <= ranker.threshold).mean(), abs=1e-9)
