@@ -10,7 +10,9 @@ import html as entities
 import re
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column
@@ -64,6 +66,11 @@ def unescape(c: Column) -> Column:
     return F.coalesce(unescape_all(F.when(c.rlike(_RARE), c)), _usual(c))
 
 
+def unescape_named(c: Column) -> Column:
+    """The names of HTML 4 with their semicolons, ``&#39;``, ``&apos;`` and then ampersands, also without one: what can be listed in SQL."""
+    return F.coalesce(unescape_listed(F.when(c.rlike(_RARE), c)), _usual(c))
+
+
 def _usual(c: Column) -> Column:
     for entity, sign in ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(sign))
@@ -76,6 +83,19 @@ def unescape_all(c: pd.Series) -> pd.Series:
     return c.map(entities.unescape, na_action="ignore")
 
 
+_LISTED = {f"&{name};": chr(code) for name, code in name2codepoint.items() if name != "amp"} | {"&#39;": "'", "&apos;": "'"}
+
+
+@F.pandas_udf(ty.StringType())
+def unescape_listed(c: pd.Series) -> pd.Series:
+    """``unescape_named`` of texts."""
+
+    def plain(text: str) -> str:
+        return re.sub("&amp;?", "&", re.sub("&(?:#39|[A-Za-z0-9]+);", lambda m: _LISTED.get(m[0], m[0]), text))
+
+    return c.map(plain, na_action="ignore")
+
+
 @F.pandas_udf(ty.StringType())
 def decompose(c: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks."""
@@ -123,13 +143,13 @@ def normalize(c: Column, lowercase: bool = True, strip_html: bool = True, strip_
     return F.coalesce(whole(F.when(raw.rlike("|".join(hard)), raw)), native)
 
 
-def page_title(html: Column) -> Column:
-    return F.regexp_replace(unescape(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)), f"^[{SPACES}]+|[{SPACES}]+$", "")
+def page_title(html: Column, entities: Callable[[Column], Column] = unescape) -> Column:
+    return F.regexp_replace(entities(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)), f"^[{SPACES}]+|[{SPACES}]+$", "")
 
 
-def page_text(html: Column) -> Column:
+def page_text(html: Column, entities: Callable[[Column], Column] = unescape) -> Column:
     """Visible text: no scripts, styles and tags; case, accents and URLs stay."""
-    c = F.regexp_replace(unescape(F.coalesce(html, F.lit(""))), r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " ")
+    c = F.regexp_replace(entities(F.coalesce(html, F.lit(""))), r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " ")
     return collapse(F.regexp_replace(c, TAGS, " "))
 
 

@@ -1,6 +1,7 @@
 import sys
 from html.entities import html5
 
+import duckdb
 import pandas as pd
 import pytest
 from hypothesis import given, settings
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from termforge.functions import codec
 from termforge.functions import text as T
 from termforge.functions import urls as U
+from termforge.plans import catalog
+from verify import spark_rows
 
 
 def one(spark, column, *values, schema="x string"):
@@ -52,6 +55,18 @@ def test_page_title_and_text(spark):
     assert one(spark, T.page_text(F.col("x")), page) == "A & B Héllo https://a.example"
 
 
+def test_entities_of_page_queries_are_those_of_sql(spark, tmp_path):
+    """A title that ends within an entity, names of HTML 5, numbers, ampersands of any kind."""
+    ends = ["&quot", "&quot;", "&amp", "&amp;", "&amp;quot;", "&ampquot;", "&eacute", "&eacute;x", "&#39;", "&#39", "&#65;", "&apos;", "&copy2", "&alpha;&thetasym;", "&lbrace;", "& amp;", "&&lt;", "&lt;i&gt;"]
+    pages = [(k, "http://a.example", f"<title>token = {end}</title><p>cut {end}") for k, end in enumerate(ends)]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    for name in ("page_title", "page_text"):
+        names, rows = spark_rows(catalog.QUERIES[name](spark, str(tmp_path)))
+        db = duckdb.connect()
+        db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+        assert len(rows) == len(ends) and set(rows) == {tuple(dict(zip((c[0] for c in found.description), r))[n] for n in names) for found in [db.execute(catalog.ORACLES[name])] for r in found.fetchall()}
+
+
 @pytest.mark.parametrize("word,stem", [("running", "runn"), ("class", "clas"), ("boxes", "boxe"), ("nation", "nate"), ("cats", "cat"), ("go", "go"), ("be", "be"), ("studies", "study"), ("happily", "happi")])
 def test_stems(spark, word, stem):
     assert T.stem_word(word) == stem == one(spark, T.stem(F.col("x")), word)
