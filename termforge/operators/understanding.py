@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termforge.functions.constants import HEADS, MAX_TOKEN, NAVIGATIONAL, SYNONYMS, TRANSACTIONAL
+from termforge.sources.shared import cut
 
 MOST_EDITS = 2
 #: Words up to which comparing each with every term is cheaper than sending forms of all terms.
@@ -28,7 +30,7 @@ def intent_of(query: str) -> str:
 def corrections(words: DataFrame, vocabulary: DataFrame, most: int = MOST_EDITS) -> DataFrame:
     """(word, correction, distance) for words of more than two letters that aren't in the vocabulary. Ties go to the first term."""
     asked = words.select(F.lower("word").alias("word")).where(F.length("word") > 2).distinct()
-    unknown = asked.join(vocabulary.withColumnRenamed("term", "word"), "word", "left_anti")
+    unknown = asked.join(vocabulary.withColumnRenamed("term", "word").hint("merge"), "word", "left_anti")  # a vocabulary is too large for the driver
     return nearest_terms(unknown, vocabulary, most)
 
 
@@ -37,20 +39,31 @@ def nearest_terms(unknown: DataFrame, vocabulary: DataFrame, most: int = MOST_ED
 
     Up to ``FEW_WORDS`` words (counted, unless ``few`` says so) are broadcast and compared with all terms of a fitting length where these
     are. More words meet the terms with which they share a form that is left after ``most`` deletions at most: strings within
-    that many edits always do, so none is missed.
+    that many edits always do, so none is missed. Words that have a term within one edit aren't looked for within two.
     """
     if few is None:
         few = unknown.limit(FEW_WORDS + 1).count() <= FEW_WORDS
     if few:
-        near = vocabulary.join(F.broadcast(unknown), F.abs(F.length("term") - F.length("word")) <= most)
-    else:
-        left = vocabulary.select("term", F.explode(_deletions(F.col("term"), most)).alias("form"))
-        right = unknown.where(F.length("word") <= MAX_TOKEN + most).select("word", F.explode(_deletions(F.col("word"), most)).alias("form"))
-        near = left.join(right, "form").select("word", "term").distinct()
+        return _best(vocabulary.join(F.broadcast(unknown), F.abs(F.length("term") - F.length("word")) <= most), most)
+    left, found = cut(unknown.select("word").where(F.length("word") <= MAX_TOKEN + most).distinct()), []
+    for edits in range(min(1, most), most + 1):
+        found.append(cut(_best(_sharing(left, vocabulary, edits), edits)))
+        left = left.join(found[-1].select("word"), "word", "left_anti")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _best(near: DataFrame, most: int) -> DataFrame:
     measured = near.withColumn("distance", F.levenshtein("word", "term", most)).where("distance >= 0")
     return measured.groupBy("word").agg(F.min(F.struct("distance", "term")).alias("best")).select("word", F.col("best.term").alias("correction"), F.col("best.distance").alias("distance"))
 
 
+def _sharing(words: DataFrame, vocabulary: DataFrame, edits: int) -> DataFrame:
+    """(word, term) that share a form, by its hash. Merged: Spark takes exploded forms for no larger than the words they are made of, and would broadcast them."""
+    left = vocabulary.select("term", F.explode(F.transform(_deletions(F.col("term"), edits), lambda f: F.xxhash64(f))).alias("form"))
+    right = words.select("word", F.explode(F.transform(_deletions(F.col("word"), edits), lambda f: F.xxhash64(f))).alias("form"))
+    return left.hint("merge").join(right, "form").select("word", "term")
+
+
 def _deletions(word: Column, most: int) -> Column:
     """The word and all that is left of it after up to ``most`` deletions, each once."""
 
@@ -67,12 +80,13 @@ def _deletions(word: Column, most: int) -> Column:
 
 def process(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(query_id, original, rewritten, intent, expanded) of a table of queries (query_id, text): what the engine understands of one, for all in one job."""
-    asked = queries.select("query_id", F.trim(F.coalesce("text", F.lit(""))).alias("original"))
-    words = asked.select("query_id", "original", F.posexplode_outer(F.filter(F.split(F.lower("original"), r"\s+"), lambda w: w != "")).alias("pos", "word"))
+    asked = queries.select("query_id", F.trim(F.coalesce("text", F.lit(""))).alias("original")).distinct()
+    asked = cut(asked.withColumn("row", F.monotonically_increasing_id()))  # words go by it, lest each carries the whole text
+    words = asked.select("row", F.posexplode_outer(F.filter(F.split(F.lower("original"), r"\s+"), lambda w: w != "")).alias("pos", "word"))
     fixed = corrections(words.where("word IS NOT NULL"), vocabulary).select(F.col("word").alias("wrong"), "correction")
-    mended = words.join(fixed, F.col("word") == F.col("wrong"), "left").withColumn("word", F.coalesce("correction", "word"))
-    whole = mended.groupBy("query_id", "original").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", "word")))), lambda x: x["word"]).alias("words"))
-    return whole.select("query_id", "original", F.array_join("words", " ").alias("rewritten"), intent(F.col("original")).alias("intent"), expand(F.col("words")).alias("expanded"))
+    mended = words.join(fixed.hint("merge"), F.col("word") == F.col("wrong"), "left").withColumn("word", F.coalesce("correction", "word"))
+    whole = mended.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", "word")))), lambda x: x["word"]).alias("words"))
+    return asked.join(whole.hint("merge"), "row").select("query_id", "original", F.array_join("words", " ").alias("rewritten"), intent(F.col("original")).alias("intent"), expand(F.col("words")).alias("expanded"))
 
 
 def _map(pairs: dict[str, tuple[str, ...]]) -> Column:

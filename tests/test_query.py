@@ -125,6 +125,20 @@ def test_either_way_finds_the_nearest_terms(spark, few):
     assert {r["word"]: (r["distance"], r["correction"]) for r in found} == {w: b for w, b in best.items() if b[0] <= 2}
 
 
+def test_forms_of_many_words_are_not_broadcast(spark):
+    """Spark takes what is exploded for no larger than before."""
+    frame = lambda values, name: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    near = understanding._sharing(frame(["serch"], "word"), frame(["search"], "term"), 1)
+    assert "SortMergeJoin" in (plan := near._jdf.queryExecution().executedPlan().toString()) and "Broadcast" not in plan
+
+
+def test_queries_that_come_twice(spark):
+    """Rows that are equal are one query, whose words count once; other texts of the same number are queries of their own."""
+    rows = [(1, "serch it"), (1, "serch it"), (1, "fix"), (None, "serch")]
+    found = understanding.process(spark.createDataFrame(rows, "query_id int, text string"), spark.createDataFrame([("search",)], "term string")).collect()
+    assert sorted((r["query_id"] or 0, r["original"], r["rewritten"]) for r in found) == [(0, "serch", "search"), (1, "fix", "fix"), (1, "serch it", "search it")]
+
+
 def test_a_table_of_queries_is_understood_at_once(spark):
     rows = [(1, "Buy serch engne"), (2, "fix the error"), (3, None), (4, "  "), (5, "go to serch")]
     vocabulary = spark.createDataFrame([(t,) for t in ("search", "engine", "buy", "fix", "the", "error")], "term string")
