@@ -10,7 +10,7 @@ import html as entities
 import re
 import sys
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 from html.entities import name2codepoint
 
@@ -186,15 +186,20 @@ def terms(normal: Column, remove_stopwords: bool = True, shortest: int = MIN_TOK
     return found if shortest >= MIN_TERM else F.filter(found, lambda t: F.length(t) >= MIN_TERM)
 
 
-@F.pandas_udf(_TOKENS)
-def tokens_with_offsets(normal: pd.Series) -> pd.Series:
-    """Terms with their positions and character ranges in the normalised text."""
+def offsets_of(text: str) -> Iterator[tuple[str, int, int, int]]:
+    """Each term with its position and character range in the normalised text."""
+    position = 0
+    for m in re.finditer(TOKEN, text):
+        if MIN_TOKEN <= len(m[0]) <= MAX_TOKEN and m[0] not in _STOP:
+            yield stem_word(m[0]), position, m.start(), m.end()
+            position += 1
 
-    def one(text: str) -> list[dict]:
-        kept = [m for m in re.finditer(TOKEN, text) if MIN_TOKEN <= len(m[0]) <= MAX_TOKEN and m[0] not in _STOP]
-        return [{"term": stem_word(m[0]), "position": k, "start_char": m.start(), "end_char": m.end()} for k, m in enumerate(kept)]
 
-    return normal.fillna("").map(one)
+@F.pandas_udf(_TOKENS)
+def tokens_with_offsets(normal: pd.Series) -> pd.Series:
+    """Terms with their positions and character ranges in the normalised text. For few texts: a batch of results is held at once."""
+    names = ("term", "position", "start_char", "end_char")
+    return normal.fillna("").map(lambda text: [dict(zip(names, t)) for t in offsets_of(text)])
 
 
 _STOP = frozenset(STOPWORDS)

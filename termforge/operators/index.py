@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termforge.functions import text as T
 from termforge.functions.codec import vbyte_size
 
+#: Rows that a task of Python hands on at once.
+ROWS_OUT = 50_000
+
 
 def spread(docs: DataFrame) -> DataFrame:
     """As they are, unless they are read in fewer parts than there are cores: a small file of one row group would be one task's work.
@@ -36,6 +43,19 @@ def _stream(docs: DataFrame, text_col: str) -> DataFrame:
     return raw.select("doc_id", "doc_len", "pos", T.stem(F.col("raw")).alias("term"))  # tokens and their stems have MIN_TERM letters at least
 
 
+def token_offsets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(doc_id, term, position, start_char, end_char) of the kept tokens. ``ROWS_OUT`` rows leave at a time, however long the texts are."""
+    kind = pa.schema([("doc_id", pa.int64()), ("term", pa.string()), *((n, pa.int32()) for n in ("position", "start_char", "end_char"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((doc_id, *t) for batch in batches for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["normal"]) for t in T.offsets_of(text.as_py() or ""))
+        while part := list(islice(rows, ROWS_OUT)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), kind)], schema=kind)
+
+    normal = spread(docs.select(F.col("doc_id").cast("bigint"), text_col)).select("doc_id", T.normalize(F.col(text_col)).alias("normal"))
+    return normal.mapInArrow(run, "doc_id bigint, term string, position int, start_char int, end_char int")
+
+
 def term_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, term, tf)."""
     return token_stream(docs, text_col).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from termforge.functions import codec
 from termforge.functions import text as T
 from termforge.functions import urls as U
+from termforge.operators import index
 from termforge.plans import catalog
 from verify import spark_rows
 
@@ -80,6 +81,14 @@ def test_tokens(spark):
     assert "the" in one(spark, T.tokens(F.col("x"), remove_stopwords=False), "the end")
 
 
+def test_offsets_of_long_texts_leave_in_parts(spark):
+    """As of each text by itself, with a text of more tokens than leave at once, one without and a row without doc_id."""
+    docs = [(1, "the search & searches " * (index.ROWS_OUT // 2 + 7)), (2, None), (None, "Engine"), (1 << 60, "re-use it"), (5, " the ")]
+    found = [tuple(r) for r in index.token_offsets(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)).collect()]
+    expected = [(k, *t) for k, text in docs for t in T.offsets_of(T.normalize_string(text))]
+    assert len(found) > index.ROWS_OUT and sorted(found, key=str) == sorted(expected, key=str)
+
+
 @given(st.lists(st.integers(0, 1 << 62), max_size=30))
 def test_variable_bytes_round_trip(numbers):
     assert codec.decode(codec.encode(numbers)) == numbers
