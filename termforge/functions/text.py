@@ -10,7 +10,7 @@ import html as entities
 import re
 import sys
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from html.entities import name2codepoint
 
@@ -131,7 +131,7 @@ def normalize(c: Column, lowercase: bool = True, strip_html: bool = True, strip_
         c = F.lower(c)
     if accents:
         c = where(foreign, _plain(c), c)
-    native = F.trim(F.regexp_replace(c, r"[^a-z0-9-]+", " "))
+    native = F.array_join(F.regexp_extract_all(c, F.lit("([a-z0-9-]+)"), F.lit(1)), " ")  # Java takes ten times as long to find what to drop
     hard = [p for p, on in ((_RARE, strip_html), (_letters()[2], accents)) if on]
     if not hard:
         return native
@@ -140,7 +140,7 @@ def normalize(c: Column, lowercase: bool = True, strip_html: bool = True, strip_
     def whole(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: normalize_string(t, lowercase, strip_html, strip_urls, accents), na_action="ignore")
 
-    return F.coalesce(whole(F.when(raw.rlike("|".join(hard)), raw)), native)
+    return F.coalesce(whole(F.when((foreign | raw.contains("&")) & raw.rlike("|".join(hard)), raw)), native)
 
 
 def page_title(html: Column, entities: Callable[[Column], Column] = unescape) -> Column:
@@ -213,6 +213,13 @@ def stem_word(word: str) -> str:
     return word
 
 
+def unstemmed(terms: Iterable[str]) -> list[str]:
+    """All tokens whose stem is one of ``terms``."""
+    wanted = set(terms)
+    words = wanted | {t[: len(t) - len(rest)] + suffix for t in wanted for suffix, rest in STEM_RULES if t.endswith(rest)}
+    return sorted(w for w in words if stem_word(w) in wanted)
+
+
 def normalize_string(text: str | None, lowercase: bool = True, strip_html: bool = True, strip_urls: bool = True, accents: bool = True) -> str:
     """``normalize`` for one string in Python."""
     text = text or ""
