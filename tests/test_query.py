@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from termforge.functions import text as T
 from termforge.operators import boolean, index, snippets, understanding
 from termforge.plans import parser
 from termforge.plans.cache import RedisBackend, ResultCache
@@ -31,6 +32,19 @@ def test_strict_evaluation(stream, query, ids):
     assert {r["doc_id"] for r in parser.evaluate(parser.parse(query), stream).collect()} == ids
 
 
+def test_words_of_some_stems(spark):
+    """All tokens of a vocabulary whose stem is asked for, and only those; no others are exploded."""
+    words = ["run", "runs", "running", "runn", "nation", "nate", "nator", "cats", "cat", "cate", "cation", "studies", "study", "rung", "runner"]
+    for stem in {T.stem_word(w) for w in words}:
+        assert {w for w in words if T.stem_word(w) == stem} == set(T.unstemmed([stem])) & set(words)
+    docs = spark.createDataFrame([(1, "running runs cats"), (2, "nothing of it"), (3, None), (4, "runn run")], "doc_id bigint, text string")
+    tf, lengths = index.matched(docs, ["runn", "run"])
+    assert sorted(map(tuple, tf.collect())) == [(1, "run", 1, 3), (1, "runn", 1, 3), (4, "run", 1, 2), (4, "runn", 1, 2)]
+    assert sorted(map(tuple, lengths.collect())) == [(1, 3), (2, 1), (3, 0), (4, 2)]
+    assert sorted(map(tuple, index.token_stream(docs, only=["run"]).collect())) == [(1, 1, "run"), (4, 1, "run")]
+    assert parser.looked_for(parser.parse('"running cats" AND runs')) == ["runn", "cat", "run"]
+
+
 def test_all_terms_at_once(stream):
     assert {r["doc_id"] for r in boolean.having_all(stream, ["search", "design", "design"]).collect()} == {1}
 
