@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -46,6 +47,12 @@ def vbyte_decode(data: pd.Series) -> pd.Series:
     return data.map(decode, na_action="ignore")
 
 
+@F.pandas_udf(ty.ArrayType(ty.LongType()))
+def sums(gaps: pd.Series) -> pd.Series:
+    """What ``gaps`` were taken of: running sums, in one pass."""
+    return gaps.map(lambda x: list(accumulate(int(n) for n in x)), na_action="ignore")
+
+
 def vbyte_size(n: Column) -> Column:
     """Bytes that ``n`` takes, natively."""
     size = F.when(n < 0, F.lit(None).cast("int"))

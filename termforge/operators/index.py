@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import pyarrow as pa
@@ -80,12 +81,46 @@ def sized_frequencies(docs: DataFrame, text_col: str = "text", only: DataFrame |
     return (stream if only is None else stream.join(only, "term", "left_semi")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.any_value("doc_len").alias("doc_len"))
 
 
-def postings(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, term, tf, positions, doc_len)."""
+def postings(docs: DataFrame, text_col: str = "text", unique: bool = False) -> DataFrame:
+    """(doc_id, term, tf, positions, doc_len). Documents are inverted where they are read; only rows that share a doc_id (none, if ``unique``) are shuffled to be added up."""
+    if unique:
+        return _inverted(docs, text_col)
+    often = docs.groupBy(F.col("doc_id").alias("often")).count().where("count > 1").select("often")
+    if often.isEmpty():
+        return _inverted(docs, text_col)
+    same = F.col("doc_id").eqNullSafe(F.col("often"))
+    return _inverted(docs.join(often, same, "left_anti"), text_col).unionByName(gathered_postings(docs.join(often, same, "left_semi"), text_col))
+
+
+def gathered_postings(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The same with a shuffle of all tokens, for what goes on with postings by document and term."""
     found = _stream(docs, text_col).groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.any_value("doc_len").alias("doc_len"))
     return found.select("doc_id", "term", F.size("positions").cast("bigint").alias("tf"), "positions", "doc_len")
 
 
+def _inverted(docs: DataFrame, text_col: str) -> DataFrame:
+    """Postings of each row by itself, ``ROWS_OUT`` at a time: no shuffle, no sort."""
+    kind = pa.schema([("doc_id", pa.int64()), ("term", pa.string()), ("tf", pa.int64()), ("positions", pa.list_(pa.int32())), ("doc_len", pa.int64())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        stem = lru_cache(1 << 16)(T.stem_word)
+        for batch in batches:
+            for doc_id, kept in zip(batch["doc_id"].to_pylist(), batch["kept"]):
+                places: dict[str, list[int]] = {}
+                for pos, word in enumerate(words := kept.as_py()):
+                    places.setdefault(stem(word), []).append(pos)
+                for term, at in places.items():
+                    yield doc_id, term, len(at), at, len(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = each(batches)
+        while part := list(islice(rows, ROWS_OUT)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), kind)], schema=kind)
+
+    kept = spread(docs.select(F.col("doc_id").cast("bigint"), text_col)).select("doc_id", T.tokens(T.normalize(F.col(text_col))).alias("kept"))
+    return kept.mapInArrow(run, "doc_id bigint, term string, tf bigint, positions array<int>, doc_len bigint")
+
+
 def doc_lengths(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, doc_len); documents without terms have 0. No shuffle."""
     return spread(docs.select("doc_id", text_col)).select("doc_id", F.size(T.tokens(T.normalize(F.col(text_col)))).cast("bigint").alias("doc_len"))

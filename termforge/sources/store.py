@@ -126,7 +126,7 @@ class IndexStore:
             gone = once.select("doc_id") if state["segments"] else None
             by, first = once.select("doc_id", "segment_id"), F.lit(numbers[0]).cast("bigint")
             number = lambda df: df.join(by, "doc_id") if len(numbers) > 1 else df.withColumn("segment_id", first)
-            found = index.postings(once, "content")
+            found = index.postings(once, "content", unique=True)
             vectors = self.encode(once.select("doc_id", F.col("content").alias("text"))) if self.encode else self.spark.createDataFrame([], "doc_id bigint, embedding array<double>")
             tables = {
                 "postings": number(found),

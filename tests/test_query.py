@@ -45,6 +45,15 @@ def test_words_of_some_stems(spark):
     assert parser.looked_for(parser.parse('"running cats" AND runs')) == ["runn", "cat", "run"]
 
 
+def test_postings_of_shared_numbers(spark):
+    """Rows that share a doc_id, or have none, are one document; documents alone aren't shuffled."""
+    rows = [(1, "runs cats running"), (2, "cats"), (2, "dogs cats cats"), (None, "cats"), (None, "cats"), (3, None), (4, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = sorted(((r["doc_id"] or 0, r["term"], r["tf"], r["positions"]) for r in index.postings(docs).collect()))
+    assert found == [(0, "cat", 2, [0, 0]), (1, "cat", 1, [1]), (1, "run", 1, [0]), (1, "runn", 1, [2]), (2, "cat", 3, [0, 1, 2]), (2, "dog", 1, [0])]
+    assert "hashpartitioning" not in index.postings(docs.where("doc_id IN (1, 3, 4)"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_all_terms_at_once(stream):
     assert {r["doc_id"] for r in boolean.having_all(stream, ["search", "design", "design"]).collect()} == {1}
 

@@ -94,6 +94,11 @@ def test_variable_bytes_round_trip(numbers):
     assert codec.decode(codec.encode(numbers)) == numbers
 
 
+def test_running_sums_of_gaps(spark):
+    for numbers in ([], [0], [3, 5, 900], list(range(0, 40_000, 2))):
+        assert one(spark, codec.sums(codec.gaps(F.col("x"))), numbers, schema="x array<int>") == numbers
+
+
 def test_variable_bytes(spark):
     for n in (0, 1, 127, 128, 255, 1000, 16383, 16384, 100_000, 1 << 62):
         assert len(codec.encode([n])) == one(spark, codec.vbyte_size(F.col("x")), n, schema="x bigint")
